@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vocabulary import split_of
 from ..storage import table
-from . import hamming_overlap, quantiles
+from . import grouped_split, hamming_overlap, quantiles
 from .components import components
 
 
@@ -32,6 +32,25 @@ def p2_counts(spark: SparkSession, d: str) -> DataFrame:
     return rows.where("held").join(per_file, "file_id").groupBy("split", "domain").agg(F.count(F.lit(1)).alias("n_files"), F.sum("n").alias("n_pairs"))
 
 
+# 3: splits that keep related files together
+
+
+def p3_method(spark: SparkSession, d: str) -> DataFrame:
+    """The split of each file by annealing."""
+    files = grouped_split.files_of(table(spark, d, "dataset_index", "file_id", "label", "group_key"))
+    return grouped_split.assign(files).select("file_id", "split")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return grouped_split.torn(table(spark, d, "dataset_index", "group_key", "split"))
+
+
+def p3_balance(spark: SparkSession, d: str) -> DataFrame:
+    """Files by split and label in the annealed assignment."""
+    files = grouped_split.files_of(table(spark, d, "dataset_index", "file_id", "label", "group_key"))
+    return grouped_split.assign(files).groupBy("split", "label").agg(F.count(F.lit(1)).alias("n_files"))
+
+
 # 4: components of the kept pairs
 
 
@@ -65,6 +84,9 @@ def p5_label_percentiles(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p2_found": p2_found,
     "p2_counts": p2_counts,
+    "p3_method": p3_method,
+    "p3_found": p3_found,
+    "p3_balance": p3_balance,
     "p4_found": p4_found,
     "p4_sizes": p4_sizes,
     "p5_day_percentiles": p5_day_percentiles,
@@ -84,6 +106,10 @@ SQL = {
     "p2_found": _OVERLAP + "SELECT least(t, h) AS file_a, greatest(t, h) AS file_b FROM pairs",
     "p2_counts": _OVERLAP + "SELECT s AS split, domain, count(DISTINCT h) AS n_files, count(*) AS n_pairs FROM pairs GROUP BY s, domain",
 }
+SQL["p3_found"] = f"""
+SELECT g AS group_key FROM (SELECT lower(trim(group_key, ' ' || chr(9))) AS g, {_SPLIT} AS s FROM dataset_index) WHERE g <> '' AND g <> 'nan' AND s IS NOT NULL
+GROUP BY g HAVING count(DISTINCT s) > 1
+"""
 _COMPONENTS = """
 WITH RECURSIVE e AS (
   SELECT file_a AS a, file_b AS b FROM near_pairs WHERE kept AND file_a <> file_b UNION SELECT file_b, file_a FROM near_pairs WHERE kept AND file_a <> file_b
