@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vocabulary import split_of
 from ..storage import table
-from . import grouped_split, hamming_overlap, quantiles
+from . import grouped_split, hamming_overlap, leakage, quantiles, tokens
 from .components import components
 
 
@@ -81,6 +81,35 @@ def p5_label_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return quantiles.percentiles(quantiles.merged(_sketches(spark, d), ["label"]), ["label"])
 
 
+# 7: token ids
+
+
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.encoded(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
+
+
+# 8: test items in the corpus
+
+
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "eval_items", "item_id", "item_text"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """The matches without an edit."""
+    return _leaks(spark, d).where(F.col("distance") == 0).select("doc_id", "item_id")
+
+
+def p8_near(spark: SparkSession, d: str) -> DataFrame:
+    """All matches with at most two edited words in a window, with their distance."""
+    return _leaks(spark, d)
+
+
+def p8_items(spark: SparkSession, d: str) -> DataFrame:
+    """Per item the documents that hold a passage of it, exactly or nearly."""
+    return _leaks(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_documents"), F.count_if(F.col("distance") == 0).alias("n_exact"))
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_counts": p2_counts,
@@ -91,6 +120,10 @@ QUERIES = {
     "p4_sizes": p4_sizes,
     "p5_day_percentiles": p5_day_percentiles,
     "p5_label_percentiles": p5_label_percentiles,
+    "p7_ids": p7_ids,
+    "p8_found": p8_found,
+    "p8_near": p8_near,
+    "p8_items": p8_items,
 }
 
 _SPLIT = "CASE WHEN lower(trim(split, ' ' || chr(9))) IN ('train', 'training') THEN 'train' WHEN lower(trim(split, ' ' || chr(9))) IN ('val', 'valid', 'validation', 'dev') THEN 'val' WHEN lower(trim(split, ' ' || chr(9))) IN ('test', 'testing') THEN 'test' END"
