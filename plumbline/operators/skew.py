@@ -22,12 +22,13 @@ def among(column: Column, keys: list) -> Column:
     return F.coalesce(column.isin(keys), F.lit(False)) if keys else F.lit(False)
 
 
-def join_skewed(big: DataFrame, small: DataFrame, key: str, hot: list, how: str = "left") -> DataFrame:
+def join_skewed(big: DataFrame, small: DataFrame, key: str, hot: list, how: str = "left", also: tuple[str, ...] = ()) -> DataFrame:
     """Join ``big`` with ``small``, which has at most one row per key. The rows of hot keys never move: their
     at most ``len(hot)`` rows of ``small`` are broadcast. The rest is joined by a shuffle. ``how`` is inner, left,
-    left_semi or left_anti."""
+    left_semi or left_anti. ``also`` names further columns that must be equal."""
+    on = [key, *also]
     if not hot:
-        return big.join(small, key, how)
-    cold = big.where(~among(F.col(key), hot)).join(small.where(~among(F.col(key), hot)), key, how)
-    warm = big.where(among(F.col(key), hot)).join(F.broadcast(small.where(among(F.col(key), hot))), key, how)
+        return big.join(small, on, how)
+    cold = big.where(~among(F.col(key), hot)).join(small.where(~among(F.col(key), hot)), on, how)
+    warm = big.where(among(F.col(key), hot)).join(F.broadcast(small.where(among(F.col(key), hot))), on, how)
     return cold.unionByName(warm)
