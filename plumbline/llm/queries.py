@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vocabulary import split_of
 from ..storage import table
-from . import grouped_split, hamming_overlap, leakage, quantiles, tokens
+from . import grouped_split, hamming_overlap, leakage, paragraphs, quantiles, shared_spans, tokens
 from .components import components
 
 
@@ -110,6 +110,26 @@ def p8_items(spark: SparkSession, d: str) -> DataFrame:
     return _leaks(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_documents"), F.count_if(F.col("distance") == 0).alias("n_exact"))
 
 
+# 9: long exact spans
+
+
+def p9_method(spark: SparkSession, d: str) -> DataFrame:
+    """Clusters of equal or similar paragraphs by MinHash banding."""
+    return paragraphs.clusters(table(spark, d, "documents", "doc_id", "text"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return shared_spans.shared_spans(table(spark, d, "documents", "doc_id", "text"))
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Per document with shared spans, the characters in them and their share of its text."""
+    docs = table(spark, d, "documents", "doc_id", "text")
+    spans = shared_spans.shared_spans(docs).groupBy("doc_id").agg(F.sum(F.col("span_end") - F.col("span_start")).alias("n_shared"))
+    sizes = docs.select("doc_id", F.length("text").cast("long").alias("n_chars"))
+    return spans.join(sizes, "doc_id").select("doc_id", "n_shared", "n_chars", F.round(F.col("n_shared") / F.col("n_chars"), 6).alias("share"))
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_counts": p2_counts,
@@ -124,6 +144,9 @@ QUERIES = {
     "p8_found": p8_found,
     "p8_near": p8_near,
     "p8_items": p8_items,
+    "p9_method": p9_method,
+    "p9_found": p9_found,
+    "p9_shares": p9_shares,
 }
 
 _SPLIT = "CASE WHEN lower(trim(split, ' ' || chr(9))) IN ('train', 'training') THEN 'train' WHEN lower(trim(split, ' ' || chr(9))) IN ('val', 'valid', 'validation', 'dev') THEN 'val' WHEN lower(trim(split, ' ' || chr(9))) IN ('test', 'testing') THEN 'test' END"
@@ -151,3 +174,16 @@ WITH RECURSIVE e AS (
 ), comp AS (SELECT n AS file_id, min(c) AS component FROM reach GROUP BY n)
 """
 SQL |= {"p4_found": _COMPONENTS + "SELECT file_id, component FROM comp", "p4_sizes": _COMPONENTS + "SELECT component, count(*) AS n_files FROM comp GROUP BY component"}
+_SPANS = """
+WITH docs AS (SELECT doc_id, text FROM documents WHERE length(text) >= 300), w AS (
+  SELECT doc_id, i, md5(substring(text, i + 1, 300)) AS h FROM (SELECT doc_id, text, unnest(generate_series(0, length(text) - 300)) AS i FROM docs)
+), shared AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) < max(doc_id)), hits AS (
+  SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 300 THEN 0 ELSE 1 END AS new FROM w SEMI JOIN shared USING (h)
+), runs AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM hits), spans AS (
+  SELECT doc_id, min(i) AS span_start, max(i) + 300 AS span_end FROM runs GROUP BY doc_id, run
+)
+"""
+SQL |= {
+    "p9_found": _SPANS + "SELECT doc_id, span_start, span_end FROM spans",
+    "p9_shares": _SPANS + "SELECT doc_id, sum(span_end - span_start)::BIGINT AS n_shared, any_value(length(text)) AS n_chars, round(sum(span_end - span_start) / any_value(length(text)), 6) AS share FROM spans JOIN documents USING (doc_id) GROUP BY doc_id",
+}
