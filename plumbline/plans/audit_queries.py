@@ -287,14 +287,14 @@ z AS (SELECT d.*, CASE WHEN s IS NULL THEN NULL WHEN mad > 0 THEN (s - m) / mad
 """
 
 
-@query(_BLUR + "SELECT file_id, round(z, 6) AS z FROM z WHERE z < -2")
+@query(_BLUR + "SELECT file_id, round(z, 6) AS z FROM z WHERE z < -1")
 def qual_blur(spark: SparkSession, d: str) -> DataFrame:
-    return audits.blur_scores(index_view(spark, d, "readable", "label", "sharpness")).where("z < -2").select("file_id", F.round("z", 6).alias("z"))
+    return audits.blur_scores(index_view(spark, d, "readable", "label", "sharpness")).where("z < -1").select("file_id", F.round("z", 6).alias("z"))
 
 
-@query(_BLUR + "SELECT label, count(*) AS n, count(*) FILTER (z < -2) AS n_blurry, round(100.0 * count(*) FILTER (z < -2) / count(*), 2) AS pct_blurry FROM z GROUP BY label")
+@query(_BLUR + "SELECT label, count(*) AS n, count(*) FILTER (z < -1) AS n_blurry, round(100.0 * count(*) FILTER (z < -1) / count(*), 2) AS pct_blurry FROM z GROUP BY label")
 def qual_blur_rates(spark: SparkSession, d: str) -> DataFrame:
-    return audits.blur_rates(index_view(spark, d, "readable", "label", "sharpness"), -2.0)
+    return audits.blur_rates(index_view(spark, d, "readable", "label", "sharpness"), -1.0)
 
 
 @query("SELECT file_id, brightness FROM rd WHERE brightness > 0.8")
