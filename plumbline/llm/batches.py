@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -22,13 +22,6 @@ def column(t: pa.Table, name: str) -> np.ndarray:
     return t.column(name).combine_chunks().to_numpy(zero_copy_only=False)
 
 
-def sliced(schema: pa.Schema, arrays: list, rows: int = 100_000) -> Iterator[pa.RecordBatch]:
-    """The arrays as batches of at most ``rows`` rows."""
-    n = len(arrays[0])
-    for k in range(0, n, rows):
-        yield pa.RecordBatch.from_arrays([pa.array(a[k : k + rows], type=f.type) for a, f in zip(arrays, schema, strict=True)], schema=schema)
-
-
 def texts(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column and the n + 1 offsets of its rows; null rows are empty."""
     a = batch.column(name)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..operators.skew import hot_keys, join_skewed
 from ..storage import cut
-from .batches import column, gathered, parts, sliced
+from .batches import column, gathered, parts
 
 #: Edges in one partition, at most.
 BOUND = 1_000_000
@@ -61,7 +61,8 @@ def union_find(a: np.ndarray, b: np.ndarray, rank: np.ndarray) -> np.ndarray:
 
 def _forest(batches):
     """Edges (a, b, low) of one partition to its spanning forest of stars (u, root, low); low is the smallest id known
-    to be linked to a or b, and in the result to u."""
+    to be linked to a or b, and in the result to u. A loop only tells a record's low; without an edge in this partition the
+    record has no root here."""
     t = gathered(batches)
     if t is None:
         return
@@ -70,7 +71,11 @@ def _forest(batches):
     root = union_find(back[: len(a)], back[len(a) :], _mix(nodes))
     low = np.full(len(nodes), np.iinfo(np.int64).max)
     np.minimum.at(low, root[back[: len(a)]], column(t, "low"))
-    yield from sliced(_FOREST, [nodes, nodes[root], low[root]])
+    linked = np.zeros(len(nodes), bool)
+    linked[back[np.concatenate([a, b]) != np.concatenate([b, a])]] = True
+    for k in range(0, len(nodes), 100_000):
+        s = slice(k, k + 100_000)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[s]), pa.array(nodes[root][s], mask=~linked[s]), pa.array(low[root][s])], schema=_FOREST)
 
 
 def components(pairs: DataFrame, a: str, b: str, bound: int = BOUND) -> DataFrame:
@@ -89,7 +94,7 @@ def components(pairs: DataFrame, a: str, b: str, bound: int = BOUND) -> DataFram
         if some > 1:
             forest = cut(forest)
             if forest.count() <= bound:
-                some, forest = 1, forest.select(F.col("u").alias("a"), F.col("root").alias("b"), "low").repartition(1).mapInArrow(_forest, FOREST)
+                some, forest = 1, forest.select(F.col("u").alias("a"), F.coalesce("root", "u").alias("b"), "low").repartition(1).mapInArrow(_forest, FOREST)
         if some == 1:  # one partition saw everything that is left: its trees are whole components
             return _resolve(levels, forest.select(F.col("u").alias("node"), F.col("low").alias("component")))
         edges, level = _contract(forest)
@@ -99,10 +104,10 @@ def components(pairs: DataFrame, a: str, b: str, bound: int = BOUND) -> DataFram
 
 def _contract(forest: DataFrame) -> tuple[DataFrame, tuple[DataFrame, DataFrame]]:
     """The edges between roots that have a record in common, and what leads back from them: the root each record goes
-    with, and each root's smallest id."""
-    first = F.min(F.struct(F.xxhash64("root").alias("h"), "root"))["root"]
-    up = cut(forest.groupBy("u").agg(first.alias("up"), F.count(F.lit(1)).alias("n")))
-    roots = cut(forest.where(F.col("u") == F.col("root")).groupBy("root").agg(F.min("low").alias("low")))
+    with, and each root's smallest id. In every partition all but the roots leave the graph, so it shrinks at each level."""
+    order = F.when(F.col("root").isNotNull(), F.struct(F.xxhash64("root").alias("h"), "root"))
+    up = cut(forest.groupBy("u").agg(F.min(order)["root"].alias("up"), F.count("root").alias("n"), F.min("low").alias("low")))
+    roots = cut(up.groupBy(F.col("up").alias("root")).agg(F.min("low").alias("low")))
     met = up.where(F.col("n") > 1).select("u", "up")
     edges = forest.join(met, "u").where(F.col("root") != F.col("up")).select(F.col("root").alias("a"), F.col("up").alias("b")).distinct()
     edges = cut(edges)
