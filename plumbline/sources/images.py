@@ -216,6 +216,11 @@ def load(spark: SparkSession, root: str, splits: str = "auto", group_regex: str
     return index
 
 
+def _frame(rows: list[dict], names: list[str]) -> pd.DataFrame:
+    """Of objects, as 64-bit signatures beside missing ones would otherwise become floats."""
+    return pd.DataFrame({n: pd.Series([r.get(n) for r in rows], dtype=object) for n in names})
+
+
 def _meta(batches):
     names = [f.split()[0] for f in META.split(", ")]
     for pdf in batches:
@@ -227,8 +232,7 @@ def _meta(batches):
             except ValueError as x:
                 row["error"] = f"{'UnidentifiedImage' if 'identify' in str(x) else 'Decode'}Error: {x}"[:200]
             rows.append(row)
-        out = pd.DataFrame(rows, columns=names)
-        yield out.astype(object).where(out.notna(), None)
+        yield _frame(rows, names)
 
 
 def _pixels(target: int | None):
@@ -247,8 +251,7 @@ def _pixels(target: int | None):
                     except (ValueError, MemoryError) as x:
                         row["trouble"] = f"decoded but could not process pixels: {type(x).__name__}: {x}"[:200]
                 rows.append(row)
-            out = pd.DataFrame(rows, columns=names)
-            yield out.astype(object).where(out.notna(), None)
+            yield _frame(rows, names)
 
     return run
 
