@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import cut
 from .graph import connected_components
 
+#: Keys of a row, at most.
+MOST_KEYS = 300
 
-def chunks(threshold: int) -> list[tuple[int, int]]:
-    """(first bit, width) of threshold + 1 disjoint runs of bits that cover 64; the first ones are one bit wider if they can't be
-    equal. Two signatures at most ``threshold`` bits apart agree in at least one of them."""
-    if not 0 <= threshold <= 63:
-        raise ValueError("the threshold must be from 0 to 63")
-    n = threshold + 1
+def chunks(n: int) -> list[tuple[int, int]]:
+    """(first bit, width) of ``n`` disjoint runs of bits that cover 64; the first ones are one bit wider if they can't be equal. Two
+    signatures at most t bits apart agree in at least n - t of them."""
+    if not 1 <= n <= 64:
+        raise ValueError("from 1 to 64 runs")
     out, at = [], 0
     for k in range(n):
         width = 64 // n + (k < 64 % n)
@@ -28,35 +31,36 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b)).cast("int")
 
 
-def _piece(h: Column, first: int, width: int) -> Column:
-    return h if width == 64 else F.shiftrightunsigned(h, first).bitwiseAND(F.lit((1 << width) - 1))
-
-
-def _keyed(df: DataFrame, h: str, threshold: int) -> DataFrame:
-    pieces = F.array(*[F.struct(F.lit(k).cast("byte").alias("k"), _piece(F.col(h), *c).alias("bits")) for k, c in enumerate(chunks(threshold))])
-    return df.select("*", F.explode(pieces).alias("_x")).select("*", F.col("_x.k").alias("_k"), F.col("_x.bits").alias("_bits")).drop("_x")
-
+def near_hashes(hashes: DataFrame, h: str, threshold: int, second: str | None = None, second_threshold: int = 64, clean: int = 2) -> DataFrame:
+    """a, b, dist (and a2, b2, the second signatures) for all pairs of rows with h_a < h_b, or with the same h and a smaller second
+    signature, at most ``threshold`` and ``second_threshold`` bits apart. ``hashes`` has each combination once; null signatures have no pairs.
 
-def near_hashes(hashes: DataFrame, h: str, threshold: int, second: str | None = None, second_threshold: int = 64) -> DataFrame:
-    """a, b, dist (and d2, the distance of the second signature) for all pairs of rows with h_a < h_b, or with the same h and a smaller second
-    signature, at most ``threshold`` and ``second_threshold`` bits apart. ``hashes`` has each combination once.
-
-    Each row is keyed by every run of bits; equal keys meet in a hash join, and a pair is kept under the first run it agrees in, so that
-    no distinct is needed. Adaptive execution splits keys that are too frequent.
+    The bits are cut into threshold + ``clean`` runs, so close signatures agree in at least ``clean`` of them. Each row is keyed by every
+    choice of that many runs; equal keys meet in a hash join.
+    More clean runs mean more rows but longer, more selective keys: two suit up to some ten million signatures, three more. Adaptive
+    execution splits keys that are too frequent.
     """
-    cols = [F.col(h), *([F.col(second)] if second else [])]
-    keyed = _keyed(hashes.select(*cols), h, threshold)
-    left = keyed.select("_k", "_bits", F.col(h).alias("a"), *([F.col(second).alias("a2")] if second else []))
-    right = keyed.select("_k", "_bits", F.col(h).alias("b"), *([F.col(second).alias("b2")] if second else []))
+    runs = chunks(threshold + clean)
+    choices = list(combinations(range(len(runs)), clean))
+    if len(choices) > MOST_KEYS:
+        raise ValueError(f"a threshold of {threshold} with {clean} clean runs needs {len(choices)} keys a row")
+    rows = hashes.select(F.col(h).alias("h"), *([F.col(second).alias("h2")] if second else [])).where(F.col("h").isNotNull())
+    key = lambda c: F.struct(F.lit(sum(1 << k for k in c)).cast("long").alias("choice"), F.col("h").bitwiseAND(F.lit(_signed(sum((2 ** runs[k][1] - 1) << runs[k][0] for k in c)))).alias("bits"))
+    keyed = rows.select("*", F.explode(F.array(*map(key, choices))).alias("_x")).select("_x.choice", "_x.bits", *rows.columns)
+    left = keyed.withColumnsRenamed({"h": "a", "h2": "a2"})
+    right = keyed.withColumnsRenamed({"h": "b", "h2": "b2"})
     x = F.col("a").bitwiseXOR(F.col("b"))
-    first = F.lit(len(chunks(threshold)))
-    for k, c in reversed(list(enumerate(chunks(threshold)))):
-        first = F.when(_piece(x, *c) == 0, F.lit(k)).otherwise(first)
     order = (F.col("a") < F.col("b")) | ((F.col("a") == F.col("b")) & (F.col("a2") < F.col("b2"))) if second else F.col("a") < F.col("b")
-    pairs = left.join(right, ["_k", "_bits"]).where(order & (F.bit_count(x) <= threshold) & (first == F.col("_k")))
+    # Not to be broadcast, whatever the size before the keys multiplied the rows.
+    pairs = left.join(right.hint("merge"), ["choice", "bits"]).where(order & (F.bit_count(x) <= threshold))
     if second:
         pairs = pairs.where(hamming(F.col("a2"), F.col("b2")) <= second_threshold)
-    return pairs.select("a", "b", F.bit_count(x).cast("int").alias("dist"), *(["a2", "b2"] if second else []))
+    # A pair may agree in several choices; only the few true pairs are compared again.
+    return pairs.select("a", "b", F.bit_count(x).cast("int").alias("dist"), *(["a2", "b2"] if second else [])).distinct()
+
+
+def _signed(x: int) -> int:
+    return x - 2**64 if x >= 2**63 else x
 
 
 def exact_groups(df: DataFrame, key: str, content: str) -> DataFrame:

@@ -88,7 +88,7 @@ def chi2_independence(df: DataFrame, a: str, b: str) -> DataFrame:
     off = off - F.least(off, F.lit(0.5))  # with one degree of freedom all four cells deviate equally
     dof = (F.col("nr") - 1) * (F.col("nc") - 1)
     yates = F.max(off * off) * F.max("total") * F.max("sr") * F.max("sc")
-    plain = F.greatest(F.sum(F.col("n") * F.col("n") / expected) - F.max("total"), F.lit(0.0))
+    plain = F.when(F.max("total").isNotNull(), F.greatest(F.sum(F.col("n") * F.col("n") / expected) - F.max("total"), F.lit(0.0)))
     return x.agg(F.when(F.max(dof) == 1, yates).otherwise(plain).alias("chi2"), F.max(dof).alias("dof"))
 
 

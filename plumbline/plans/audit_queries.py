@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import audits, probes, relational, splitting, statistics
 from ..operators.duplicates import Duplicates, hamming, near_hashes
 from ..operators.incremental import done_keys, feature_key
-from ..storage import table
+from ..storage import cut, table
 from .views import IDX, index_view
 
 HELD = ["val", "test"]
@@ -445,3 +445,33 @@ def split_probe(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES |= {"suggested_splits": suggested_splits, "short_metadata": short_metadata, "short_filename": short_filename, "short_vector": short_vector, "split_probe": split_probe}
+
+
+def _audited(spark: SparkSession, d: str, disabled: set[str]):
+    from ..sources.images import Index
+    from .audit import audit_index
+    from .findings import Config
+
+    df = cut(index_view(spark, d))
+    counts = audits.class_counts(table(spark, d, "class_list", "label"), df)
+    stray = spark.createDataFrame([], "relpath string, reason string")
+    return audit_index(Index(d, df, "table", stray, counts, True), config=Config(disabled=disabled), key="file_id")
+
+
+#: Checks that train models.
+PROBES = {"leak.split_stats", "short.metadata", "short.filename", "short.thumbnail", "short.border"}
+
+
+def audit_findings(spark: SparkSession, d: str) -> DataFrame:
+    """All checks over the index table; features it lacks count as missing."""
+    return _audited(spark, d, set()).to_frame().select("check_id", "section", "severity", "title")
+
+
+def audit_scorecard(spark: SparkSession, d: str) -> DataFrame:
+    """The scorecard of all checks that train no model."""
+    from .report import scorecard_of
+
+    return scorecard_of(_audited(spark, d, PROBES).to_frame())
+
+
+QUERIES |= {"audit_findings": audit_findings, "audit_scorecard": audit_scorecard}
