@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .relational import counts, filled, largest, pct, proportions, shares
-from .statistics import robust_z
+from .statistics import medians, robust_z, same_keys
 
 
 def error_reasons(df: DataFrame) -> DataFrame:
@@ -108,8 +108,9 @@ def aspect() -> Column:
 def resolution(df: DataFrame) -> DataFrame:
     """One row: n, median_aspect, n_sizes, pct_distorted (files more than 25 % off the median aspect)."""
     rows = df.where("readable").withColumn("aspect", aspect())
-    ref = rows.agg(F.median("aspect").alias("ref"), F.count_distinct("width", "height").alias("n_sizes"))
-    x = rows.select("aspect").join(F.broadcast(ref))  # one row
+    ref = medians(rows, [], ["aspect"]).select(F.col("aspect").alias("ref"))
+    sizes = rows.agg(F.count_distinct("width", "height").alias("n_sizes"))
+    x = rows.select("aspect").join(F.broadcast(ref)).join(F.broadcast(sizes))  # one row each
     far = F.abs(F.ln(F.col("aspect") / F.col("ref"))) > math.log(1.25)
     return x.agg(F.count(F.lit(1)).alias("n"), F.max("ref").alias("median_aspect"), F.max("n_sizes").alias("n_sizes"), pct(F.count_if(far), F.count("aspect")).alias("pct_distorted"))
 
@@ -117,7 +118,9 @@ def resolution(df: DataFrame) -> DataFrame:
 def sizes_by_label(df: DataFrame) -> DataFrame:
     """label, and the median, smallest and largest width and height, and the median aspect."""
     rows = df.where("readable").withColumn("aspect", aspect())
-    return rows.groupBy("label").agg(*[f(c).alias(f"{n}_{c}") for c in ("width", "height") for n, f in (("median", F.median), ("min", F.min), ("max", F.max))], F.median("aspect").alias("median_aspect"))
+    ends = rows.groupBy("label").agg(*[f(c).alias(f"{n}_{c}") for c in ("width", "height") for n, f in (("min", F.min), ("max", F.max))])
+    middle = medians(rows, ["label"], ["width", "height", "aspect"]).withColumnsRenamed({c: f"median_{c}" for c in ("width", "height", "aspect")})
+    return same_keys(ends, middle, ["label"], "left").select("label", *[f"{n}_{c}" for c in ("width", "height") for n in ("median", "min", "max")], "median_aspect")
 
 
 def detail_loss(df: DataFrame, native: str = "edge_density", target: str = "edge_density_target", least: float = 0.005) -> DataFrame:
@@ -151,8 +154,8 @@ def pooled(df: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:
 def slices(df: DataFrame) -> DataFrame:
     """domain ("(none)" if null), n, share, median_brightness, median_sharpness of the readable files."""
     rows = df.where("readable").withColumn("domain", F.coalesce("domain", F.lit("(none)")))
-    medians = rows.groupBy("domain").agg(F.median("brightness").alias("median_brightness"), F.median("sharpness").alias("median_sharpness"))
-    return shares(rows, "domain").join(medians, "domain")
+    middle = medians(rows, ["domain"], ["brightness", "sharpness"]).withColumnsRenamed({c: f"median_{c}" for c in ("brightness", "sharpness")})
+    return shares(rows, "domain").join(middle, "domain", "left")
 
 
 def majority(df: DataFrame, train: str | None, held: str | None) -> DataFrame:

@@ -107,6 +107,8 @@ class Duplicates:
 
     @staticmethod
     def _verified(links: DataFrame, rows: DataFrame, least: float) -> DataFrame:
+        ends = links.select(F.col("a").alias("id")).union(links.select("b")).distinct()
+        rows = cut(rows.select("id", "vector", "content").join(ends, "id", "left_semi"))  # vectors are large, linked files few
         va = rows.select(F.col("id").alias("a"), F.col("vector").alias("va"), F.col("content").alias("ca"))
         vb = rows.select(F.col("id").alias("b"), F.col("vector").alias("vb"), F.col("content").alias("cb"))
         dot = F.aggregate(F.zip_with("va", "vb", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,13 +12,44 @@ from ..storage import cut
 from .relational import counts, unpivoted
 
 
+def same_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """A join on keys in which null equals null."""
+    right = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    on = reduce(lambda a, k: a & F.col(k).eqNullSafe(F.col(f"_r_{k}")), keys, F.lit(True))
+    return left.join(right, on, how).drop(*[f"_r_{k}" for k in keys])
+
+
+def ordered(values: DataFrame, keys: list[str], n: str) -> DataFrame:
+    """``values`` (keys, value, ``n`` times each, distinct) with ``below``, how often smaller values occur under the same keys, and ``total``.
+    The values are range-partitioned and counted within partitions, from offsets of which there is one per partition and key; no task sorts
+    all values of a key."""
+    ranged = cut(values.repartitionByRange(*keys, "value").withColumn("_part", F.spark_partition_id()))
+    sums = ranged.groupBy(*keys, "_part").agg(F.sum(n).alias("_t"))
+    w = Window.partitionBy(*keys)
+    sums = sums.select(*keys, "_part", (F.sum("_t").over(w.orderBy("_part")) - F.col("_t")).alias("_before"), F.sum("_t").over(w).alias("total"))
+    running = F.sum(n).over(Window.partitionBy(*keys, "_part").orderBy("value")) - F.col(n)
+    return same_keys(ranged, sums, [*keys, "_part"]).withColumn("below", F.col("_before") + running).drop("_part", "_before")
+
+
+def medians(df: DataFrame, keys: list[str], features: list[str]) -> DataFrame:
+    """keys and the exact median of each feature (the mean of the two middle values of an even number), null without values. Null keys are
+    a group. Values that are null or NaN are left out. However many values a group has, no task holds them all."""
+    n = unpivoted(df, keys, features).groupBy(*keys, "feature", "value").agg(F.count(F.lit(1)).alias("_n"))
+    o = ordered(n, [*keys, "feature"], "_n")
+    low, high = F.floor((F.col("total") + 1) / 2), F.ceil((F.col("total") + 1) / 2)
+    within = lambda k: (F.col("below") < k) & (k <= F.col("below") + F.col("_n"))
+    middle = o.where(within(low) | within(high))
+    # Both middle places may fall on one value or on two.
+    found = [F.avg(F.when(F.col("feature") == f, F.col("value"))).alias(f) for f in features]
+    return middle.groupBy(*keys).agg(*found) if keys else middle.agg(*found)
+
+
 def rank_sums(df: DataFrame, label: str, features: list[str], least: int = 1) -> DataFrame:
     """feature, label, n, ranks (sum of average ranks among all values of the feature), total (number of values), ties (sum of t^3 - t
     over groups of t equal values), flat (whether every class is constant). Values that are null or NaN, and classes with fewer than ``least`` values of a
     feature, are left out.
 
-    Equal values are counted first, map-side. The distinct values are then range-partitioned and ranked within partitions, from
-    offsets of which there is one per partition and feature; no task sorts a whole feature.
+    Equal values are counted first, map-side; then :func:`ordered` ranks the distinct ones.
     """
     return rank_sums_of(unpivoted(df.where(F.col(label).isNotNull()), [label], features), label, least)
 
@@ -30,14 +62,10 @@ def rank_sums_of(long: DataFrame, label: str, least: int = 1) -> DataFrame:
         per = per.where(F.col("n") >= least)
         n = n.join(per.select("feature", label), ["feature", label], "left_semi")
     values = n.groupBy("feature", "value").agg(F.sum("n").alias("t"), F.map_from_entries(F.collect_list(F.struct(label, "n"))).alias("of"))
-    ranged = cut(values.repartitionByRange("feature", "value").withColumn("part", F.spark_partition_id()))
-    before = ranged.groupBy("feature", "part").agg(F.sum("t").alias("t"))
-    before = before.select("feature", "part", (F.sum("t").over(Window.partitionBy("feature").orderBy("part")) - F.col("t")).alias("before"))
-    running = F.sum("t").over(Window.partitionBy("feature", "part").orderBy("value"))
-    ranked = ranged.join(F.broadcast(before), ["feature", "part"]).withColumn("rank", F.col("before") + running - F.col("t") + (F.col("t") + 1) / 2)
+    ranked = cut(ordered(values, ["feature"], "t").withColumn("rank", F.col("below") + (F.col("t") + 1) / 2).drop("total"))
     sums = ranked.select("feature", "rank", "t", F.explode("of").alias(label, "n")).groupBy("feature", label).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("rank")).alias("ranks"))
     t = F.col("t").cast("double")
-    whole = ranged.groupBy("feature").agg(F.sum("t").alias("total"), F.sum(t * t * t - t).alias("ties"))
+    whole = ranked.groupBy("feature").agg(F.sum("t").alias("total"), F.sum(t * t * t - t).alias("ties"))
     flat = per.groupBy("feature").agg(F.bool_and(F.col("lo") == F.col("hi")).alias("flat"), F.count(F.lit(1)).alias("classes"))
     return sums.join(F.broadcast(whole.join(flat, "feature")), "feature")
 
@@ -94,14 +122,12 @@ def chi2_independence(df: DataFrame, a: str, b: str) -> DataFrame:
 
 def robust_z(df: DataFrame, group: str, value: Column) -> DataFrame:
     """``df`` with z, the distance of the value to its group's median in units of 1.4826 median absolute deviations; 0 where that is
-    0, null where the value is null. Medians are exact and computed as aggregates; the groups' few rows are joined back."""
+    0, null where the value is null. Medians are exact; the groups' few rows are joined back."""
     df = df.withColumn("_x", value)
-    medians = df.groupBy(group).agg(F.median("_x").alias("_m"))
-    off = df.join(medians, df[group].eqNullSafe(medians[group])).drop(medians[group])
-    mads = off.groupBy(group).agg((F.median(F.abs(F.col("_x") - F.col("_m"))) * 1.4826).alias("_mad"))
-    out = off.join(mads, off[group].eqNullSafe(mads[group])).drop(mads[group])
+    off = same_keys(df, medians(df, [group], ["_x"]).withColumnRenamed("_x", "_m"), [group], "left").withColumn("_d", F.abs(F.col("_x") - F.col("_m")))
+    out = same_keys(off, medians(off, [group], ["_d"]).withColumn("_mad", F.col("_d") * 1.4826).drop("_d"), [group], "left")
     z = F.when(F.col("_x").isNull(), None).when(F.col("_mad") > 0, (F.col("_x") - F.col("_m")) / F.col("_mad")).otherwise(0.0)
-    return out.withColumn("z", z).drop("_x", "_m", "_mad")
+    return out.withColumn("z", z).drop("_x", "_m", "_d", "_mad")
 
 
 def imbalance(df: DataFrame, label: str) -> DataFrame:

@@ -318,12 +318,12 @@ def resize_risk(ctx):
         return [skip("no target size is given")]
     limit = ctx.t["resize_edge_loss"]
     loss = audits.detail_loss(ctx.df)
-    r = loss.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("loss") > limit).alias("bad"), F.median("loss").alias("median")).first()
+    r = loss.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("loss") > limit).alias("bad")).first()
     if not r.n:
         return [skip("the pictures have too few edges")]
     by = rows(loss.groupBy("label").agg(F.round(100 * F.avg((F.col("loss") > limit).cast("double")), 1)), "label")
     share, details = percent(r.bad, r.n), md_table(["class", "% losing half of their edges"], by)
-    metric = {"target_size": size, "pct_flagged": share, "median_edge_loss": round(r.median, 3)}
+    metric = {"target_size": size, "pct_flagged": share, "median_edge_loss": round(statistics.medians(loss, [], ["loss"]).first().loss, 3)}
     if r.bad / r.n > ctx.t["resize_flag_frac"]:
         bad = loss.where(F.col("loss") > limit)
         return [(WARN, f"{share} % of the pictures lose over half of their edges at {size} pixels", metric, ordered_examples(ctx, bad, F.desc("loss"), F.round("loss", 2)), "Thin structures vanish at this size. Train at a larger one, or on tiles.", details, ctx.grid("qual_resize_risk", bad))]
@@ -447,7 +447,7 @@ def stat_by_class(ctx):
     top = rows(statistics.kruskal(ctx.rd, "label", features), F.desc("effect"), "feature", most=5)
     if not top:
         return [skip("no feature varies")]
-    medians = ctx.rd.where("label IS NOT NULL").groupBy("label").agg(*[F.median(r.feature).alias(r.feature) for r in top]).orderBy("label").collect()
+    medians = statistics.medians(ctx.rd.where("label IS NOT NULL"), ["label"], [r.feature for r in top]).orderBy("label").collect()
     ends = lambda f: [pick((m for m in medians if m[f] is not None), key=lambda m: m[f]).label for pick in (max, min)]
     table = [[r.feature, r.effect, f"{statistics.chi2_survival(r.h, r.dof):.2g}", *ends(r.feature)] for r in top]
     return [(INFO, f"{top[0].feature} depends most on the label (effect {top[0].effect:.2f}, highest in {table[0][3]})", {"top": {r.feature: round(r.effect, 4) for r in top}}, [], "", md_table(["feature", "effect", "p", "highest in", "lowest in"], table))]

@@ -245,3 +245,15 @@ def test_fingerprint_ignores_order(spark):
     a = spark.createDataFrame([("ab1",), ("ab0",), ("cd",), (None,)], "sha256 string")
     b = spark.createDataFrame([("cd",), ("ab0",), ("ab1",)], "sha256 string")
     assert audits.fingerprint(a).first() == audits.fingerprint(b).first() != audits.fingerprint(b.limit(2)).first()
+
+
+def test_medians(spark):
+    rnd = random.Random(9)
+    rows = [(rnd.choice(["a", "b", None]), rnd.choice([1.0, 2.0, 2.0, rnd.random() * 9, None, math.nan]), rnd.randrange(5)) for _ in range(150)] + [("c", None, 4)]
+    df = spark.createDataFrame(rows, "k string, x double, y int")
+    median = lambda v: (sorted(v)[(len(v) - 1) // 2] + sorted(v)[len(v) // 2]) / 2 if v else None
+    good = lambda k, c: [r[c] for r in rows if r[0] == k and r[c] is not None and not math.isnan(r[c])]
+    got = {r.k: (r.x, r.y) for r in statistics.medians(df, ["k"], ["x", "y"]).collect()}
+    assert got == {k: (median(good(k, 1)), median(good(k, 2))) for k in ("a", "b", "c", None)}
+    assert statistics.medians(df, [], ["y"]).first().y == median([r[2] for r in rows])
+    assert statistics.medians(df.limit(0), ["k"], ["x"]).count() == 0 and statistics.medians(df.limit(0), [], ["x"]).first().x is None
