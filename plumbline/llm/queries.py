@@ -69,7 +69,7 @@ def p4_sizes(spark: SparkSession, d: str) -> DataFrame:
 
 def _sketches(spark: SparkSession, d: str) -> DataFrame:
     files = quantiles.files_once(table(spark, d, "dataset_index"), "label", "scanned_at", *quantiles.METRICS)
-    return quantiles.sketches(files.withColumn("day", F.to_date("scanned_at")), ["label", "day"])
+    return quantiles.sketches(files.withColumn("day", F.date_format("scanned_at", "yyyy-MM-dd")), ["label", "day"])
 
 
 def p5_day_percentiles(spark: SparkSession, d: str) -> DataFrame:
@@ -187,3 +187,16 @@ SQL |= {
     "p9_found": _SPANS + "SELECT doc_id, span_start, span_end FROM spans",
     "p9_shares": _SPANS + "SELECT doc_id, sum(span_end - span_start)::BIGINT AS n_shared, any_value(length(text)) AS n_chars, round(sum(span_end - span_start) / any_value(length(text)), 6) AS share FROM spans JOIN documents USING (doc_id) GROUP BY doc_id",
 }
+_PERCENTILES = """
+WITH f AS (SELECT DISTINCT file_id, label, strftime(scanned_at, '%Y-%m-%d') AS day, width, height, sharpness FROM dataset_index),
+v AS (UNPIVOT (SELECT label, day, CASE WHEN width > 0 THEN width::DOUBLE END AS width, CASE WHEN height > 0 THEN height::DOUBLE END AS height,
+  CASE WHEN sharpness > 0 AND NOT isnan(sharpness) THEN sharpness END AS sharpness FROM f) ON width, height, sharpness INTO NAME metric VALUE x),
+q AS (SELECT {0}, metric, count(*) AS n, quantile_disc(x, [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]) AS p FROM v GROUP BY ALL),
+g AS (SELECT DISTINCT {0}, metric FROM f, (VALUES ('width'), ('height'), ('sharpness')) m(metric))
+SELECT {1}, g.metric, coalesce(n, 0) AS n, p[1] AS p1, p[2] AS p5, p[3] AS p25, p[4] AS p50, p[5] AS p75, p[6] AS p95, p[7] AS p99 FROM g LEFT JOIN q ON {2} AND g.metric = q.metric
+"""
+#: Exact, as are sketches of at most K values, which no group of the tables up to scale 0.01 exceeds.
+SQL |= {
+    "p5_day_percentiles": _PERCENTILES.format("label, day", "g.label, g.day", "g.label IS NOT DISTINCT FROM q.label AND g.day IS NOT DISTINCT FROM q.day"),
+    "p5_label_percentiles": _PERCENTILES.format("label", "g.label", "g.label IS NOT DISTINCT FROM q.label"),
+}
