@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -232,16 +234,25 @@ def split_stats(ctx):
     least, table, worst = int(ctx.t["adv_val_min_images"]), [], None
     n = {r.split: r.n for r in relational.counts(ctx.rd, "split").collect()}
     features = [f for f in DRIFT_FEATURES if f in ctx.rd.columns]
-    for split in (s for s in ctx.splits if s != "train"):
+    held = [s for s in ctx.splits if s != "train"]
+
+    def compare(split: str):
         if min(n.get(split, 0), n.get("train", 0)) < least:
-            table.append([f"train and {split}", "-", "-", f"under {least} files"])
-            continue
+            return None
         two = ctx.rd.where(F.col("split").isin("train", split))
         js = statistics.js_distance(two, "label", "split", "train", split).first().js
         r = probes.numeric_probe(two, ctx.key, "split", {f: F.col(f) for f in features}, ctx.options.seed, int(ctx.t["max_probe_per_class"]))
-        top = rows(statistics.single_feature_auc(two, "split", features), F.desc("auc"), "feature", most=3)
+        return js, r, rows(statistics.single_feature_auc(two, "split", features), F.desc("auc"), "feature", most=3)
+
+    with ThreadPoolExecutor(4) as pool:
+        found = list(pool.map(compare, held))
+    for split, x in zip(held, found, strict=True):
+        if x is None:
+            table.append([f"train and {split}", "-", "-", f"under {least} files"])
+            continue
+        js, r, top = x
         auc = r.auc if r else float("nan")
-        table.append([f"train and {split}", js, auc, ", ".join(f"{x.feature} ({x.auc:.2f})" for x in top)])
+        table.append([f"train and {split}", js, auc, ", ".join(f"{t.feature} ({t.auc:.2f})" for t in top)])
         if r and (worst is None or auc > worst[1]):
             worst = split, auc, top
     details = md_table(["splits", "label JS distance", "AUC", "most different features"], table) + f"\n\nLabels independent of splits: p = {p:.3g}"
