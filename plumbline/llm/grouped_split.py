@@ -165,7 +165,8 @@ def assign(files: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def torn(index: DataFrame) -> DataFrame:
-    """The group keys, trimmed and in lower case, whose files are in more than one of train, val and test."""
+    """The group keys, trimmed and in lower case, whose files are in more than one of train, val and test. Null and empty
+    keys and the text nan are no groups, null and unknown splits no splits; repeated rows change nothing; an empty table gives an empty result."""
     bit = F.when(split_of(F.col("split")) == "train", 1).when(split_of(F.col("split")) == "val", 2).when(split_of(F.col("split")) == "test", 4)
     rows = index.select(group_of(F.col("group_key")).alias("group_key"), bit.alias("bit")).where("group_key IS NOT NULL AND bit IS NOT NULL")
     return rows.groupBy("group_key").agg(F.bit_or("bit").alias("bits")).where(F.bit_count("bits") > 1).select("group_key")

@@ -32,7 +32,8 @@ OUT = "train_id long, held_id long, phash_bits int, dhash_bits int"
 
 def records(index: DataFrame) -> DataFrame:
     """One row per readable file of a split: file_id, held (in val or test), split, domain, sha (lower case),
-    and, where both hashes are usable, phash and dhash."""
+    and, where both hashes are usable, phash and dhash. A null hash, or a blank file, takes part by its content only; a null content hash by
+    its signatures only; a null contrast or entropy isn't blank. Rows of one file delivered again count once; other columns are ignored."""
     blank = (F.col("contrast") < 2) | (F.col("entropy") < 0.5)
     usable = F.col("phash").isNotNull() & F.col("dhash").isNotNull() & ~F.coalesce(blank, F.lit(False))
     split = split_of(F.col("split"))

@@ -23,7 +23,8 @@ def files_once(index: DataFrame, *columns: str) -> DataFrame:
 
 def sketches(rows: DataFrame, keys: list[str], metrics: tuple[str, ...] = METRICS, k: int = K) -> DataFrame:
     """One row per group with ``n_<metric>``, the values counted, and ``<metric>``, their sketch (null without values).
-    Values that are null, NaN or not positive are left out. Null keys form a group of their own."""
+    Values that are null, NaN or not positive are left out. Null keys form a group of their own; ties count as often as
+    they occur; an empty table gives an empty result; other columns are ignored."""
     good = {m: F.when((F.col(m) > 0) & ~F.isnan(F.col(m).cast("double")), F.col(m).cast("double")) for m in metrics}
     rows = rows.select(*keys, *[c.alias(m) for m, c in good.items()])
     return rows.groupBy(*keys).agg(*[a for m in metrics for a in (F.count(m).alias(f"n_{m}"), F.when(F.count(m) > 0, F.kll_sketch_agg_double(m, F.lit(k))).alias(m))])
