@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,10 @@ from .graph import connected_components
 
 #: Keys of a row, at most.
 MOST_KEYS = 300
+#: Classes with the same signatures in one block; a cell of vectors to compare holds two blocks.
+BLOCK = 128
+#: Vectors in one partition, about.
+PART = 1_000
 
 def chunks(n: int) -> list[tuple[int, int]]:
     """(first bit, width) of ``n`` disjoint runs of bits that cover 64; the first ones are one bit wider if they can't be equal. Two
@@ -69,6 +75,68 @@ def exact_groups(df: DataFrame, key: str, content: str) -> DataFrame:
     return df.select(key, content).join(g, content)
 
 
+def _with_codes(rows: DataFrame, least: float) -> DataFrame:
+    """``rows`` with v and v2, two digests of the vector (null without one), and alone: the id where a vector's product with itself is below
+    ``least`` (a picture without edges), so that files with equal vectors don't match either; else null."""
+    dot = F.aggregate(F.transform("vector", lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    some = F.col("vector").isNotNull()
+    return rows.withColumns({"v": F.when(some, F.xxhash64("vector")), "v2": F.when(some, F.xxhash64(F.reverse("vector"))), "alone": F.when((dot < least) | F.isnan(dot), F.col("id"))})
+
+
+def _compared(least: float):
+    """The pairs of classes in each cell of a partition whose vectors match."""
+
+    def run(batches):
+        batches = [b for b in batches if b.num_rows]
+        if not batches:
+            return
+        t = pa.Table.from_batches(batches).combine_chunks()
+        ids, dist, vectors = (t.column(c).combine_chunks() for c in ("rep", "dist", "vector"))
+        cell, side = (t.column(c).to_numpy() for c in ("cell", "side"))
+        some = vectors.is_valid().to_numpy(zero_copy_only=False)
+        flat = vectors.flatten().to_numpy(zero_copy_only=False)
+        matrix = flat.reshape(int(some.sum()), -1) if some.any() else np.zeros((0, 1))
+        at = np.cumsum(some) - 1
+
+        def of(rows):
+            out = np.zeros((len(rows), matrix.shape[1]))
+            out[some[rows]] = matrix[at[rows[some[rows]]]]
+            return out
+
+        order = np.lexsort((side, cell))
+        for own in np.split(order, np.flatnonzero(np.diff(cell[order])) + 1):
+            left, right = own[side[own] == 0], own[side[own] == 1]
+            within = not len(right)  # one block with itself
+            right = left if within else right
+            x = of(left)
+            good = (x @ (x if within else of(right)).T >= least) | ~some[left][:, None] | ~some[right][None, :]
+            i, j = np.nonzero(np.triu(good, 1) if within else good)
+            if len(i):
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(left[i])), ids.take(pa.array(right[j])), dist.take(pa.array(left[i]))], ["rep_a", "rep_b", "dist"])
+
+    return run
+
+
+def _verified(near: DataFrame, classes: DataFrame, rows: DataFrame, least: float) -> DataFrame:
+    """rep_a, rep_b, dist: all pairs of classes with the same signatures, or with signatures that are a pair of ``near``, whose vectors match.
+    The classes of one pair of signatures are divided into blocks, and each two blocks that may match meet in a cell."""
+    sizes = cut(classes.groupBy("h", "h2").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.count(F.lit(1)).alias("n")))
+    end = lambda s: sizes.select(F.col("h").alias(s), F.col("h2").alias(f"{s}2"), F.col("blocks").alias(f"blocks_{s}"))
+    numbers = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    far = near.join(end("a"), ["a", "a2"]).join(end("b"), ["b", "b2"]).withColumn("i", F.explode(numbers("blocks_a"))).withColumn("j", F.explode(numbers("blocks_b")))
+    own = sizes.where("n > 1").withColumn("i", F.explode(numbers("blocks"))).withColumn("j", F.explode(F.sequence("i", F.col("blocks") - 1)))
+    own = own.select(F.col("h").alias("a"), F.col("h2").alias("a2"), F.col("h").alias("b"), F.col("h2").alias("b2"), F.lit(0).alias("dist"), "i", "j")
+    cells = cut(far.select(own.columns).unionByName(own).withColumn("cell", F.monotonically_increasing_id()))
+    left = cells.select("cell", "dist", F.lit(0).alias("side"), F.col("a").alias("h"), F.col("a2").alias("h2"), F.col("i").alias("block"))
+    right = cells.where("a <> b OR a2 <> b2 OR i <> j").select("cell", "dist", F.lit(1).alias("side"), F.col("b").alias("h"), F.col("b2").alias("h2"), F.col("j").alias("block"))
+    placed = classes.join(sizes, ["h", "h2"]).select("h", "h2", "rep", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"))
+    members = cut(left.unionByName(right).join(placed, ["h", "h2", "block"]).select("cell", "dist", "side", "rep"))
+    vectors = rows.select(F.col("id").alias("rep"), "vector").join(members.select("rep").distinct(), "rep", "left_semi")  # vectors are large, linked files few
+    parts = max(-(-members.count() // PART), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    kind = dict(rows.dtypes)["id"]
+    return members.join(vectors, "rep").repartition(parts, "cell").mapInArrow(_compared(least), f"rep_a {kind}, rep_b {kind}, dist int")
+
+
 class Duplicates:
     """Near and exact duplicates of ``df``: one row per file with unique ``key``, a content hash and two signatures.
 
@@ -76,7 +144,8 @@ class Duplicates:
     classes (their smallest keys), and members are linked to their representative. So copies, however many, add one link each and no
     link between different contents is lost. ``exclude`` marks rows (blank images) that take part in exact matches only. ``vector`` may
     name an array column; then pairs that aren't byte-identical must have at least ``least`` as the dot product of their vectors, or one
-    of them no vector.
+    of them no vector. Members of a class then agree in their vectors, too, as the dot product isn't transitive; classes of equal or near
+    signatures are compared in cells of bounded size, and all links found come out.
     """
 
     def __init__(self, df: DataFrame, key: str, content: str, h: str, second: str, threshold: int, second_threshold: int, exclude: Column | None = None, vector: str | None = None, least: float = 0.0):
@@ -91,31 +160,25 @@ class Duplicates:
         self.exact = cut(rows.select("id", "content").join(exact, "content").select("id", "first", "content", "n"))
         # Stars of files with the same two signatures, and pairs of their representatives.
         usable_rows = rows.where(F.col("h").isNotNull())
-        classes = cut(usable_rows.groupBy("h", "h2").agg(F.min("id").alias("rep")))
-        near = near_hashes(classes, "h", threshold, "h2", second_threshold)
-        a = classes.select(F.col("h").alias("a"), F.col("h2").alias("a2"), F.col("rep").alias("rep_a"))
-        b = classes.select(F.col("h").alias("b"), F.col("h2").alias("b2"), F.col("rep").alias("rep_b"))
-        near = near.join(a, ["a", "a2"]).join(b, ["b", "b2"]).select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b"), "dist", F.lit(False).alias("star"))
-        same = usable_rows.join(classes, ["h", "h2"]).where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(0).alias("dist"), F.lit(True).alias("star"))
-        links = near.unionByName(same)
+        of = ["h", "h2"]
         if vector:
-            links = self._verified(links, rows, least)
-        self._near = links = cut(links)
+            usable_rows, of = cut(_with_codes(usable_rows, least)), ["h", "h2", "v", "v2", "alone"]
+        classes = cut(usable_rows.groupBy(*of).agg(F.min("id").alias("rep")))
+        near = near_hashes(classes.select("h", "h2").distinct() if vector else classes, "h", threshold, "h2", second_threshold)
+        if vector:
+            near = _verified(cut(near), classes, usable_rows, least)
+        else:
+            a = classes.select(F.col("h").alias("a"), F.col("h2").alias("a2"), F.col("rep").alias("rep_a"))
+            b = classes.select(F.col("h").alias("b"), F.col("h2").alias("b2"), F.col("rep").alias("rep_b"))
+            near = near.join(a, ["a", "a2"]).join(b, ["b", "b2"])
+        near = near.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b"), "dist", F.lit(False).alias("star"))
+        met = usable_rows.drop("vector").alias("x").join(classes.alias("y"), [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in of]) if vector else usable_rows.join(classes, of)
+        same = met.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(0).alias("dist"), F.lit(True).alias("star"))
+        self._near = links = cut(near.unionByName(same))
         stars = self.exact.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"), F.lit(0).alias("dist"))
         self.links = cut(links.drop("star").unionByName(stars).groupBy("a", "b").agg(F.min("dist").alias("dist")))
         self._components = None
 
-    @staticmethod
-    def _verified(links: DataFrame, rows: DataFrame, least: float) -> DataFrame:
-        ends = links.select(F.col("a").alias("id")).union(links.select("b")).distinct()
-        rows = cut(rows.select("id", "vector", "content").join(ends, "id", "left_semi"))  # vectors are large, linked files few
-        va = rows.select(F.col("id").alias("a"), F.col("vector").alias("va"), F.col("content").alias("ca"))
-        vb = rows.select(F.col("id").alias("b"), F.col("vector").alias("vb"), F.col("content").alias("cb"))
-        dot = F.aggregate(F.zip_with("va", "vb", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-        x = links.join(va, "a").join(vb, "b")
-        same = F.coalesce(F.col("ca") == F.col("cb"), F.lit(False))
-        return x.where(same | F.coalesce(dot >= least, F.lit(True))).select("a", "b", "dist", "star")
-
     @property
     def components(self) -> DataFrame:
         """node, component: the files with a duplicate, and the smallest key of their cluster."""

@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import audits, probes, relational, splitting, statistics
+from plumbline.operators import audits, duplicates, probes, relational, splitting, statistics
 from plumbline.operators.duplicates import Duplicates, chunks, exact_groups, near_hashes
 from plumbline.operators.graph import connected_components
 from plumbline.operators.skew import hot_keys, join_skewed
@@ -97,6 +97,43 @@ def test_verified_by_vectors(spark):
     assert (0, 1) in links and (0, 2) not in links and (0, 3) in links and (0, 4) in links
 
 
+@pytest.mark.parametrize("block", [128, 3])
+def test_vectors_equal_all_pairs(spark, monkeypatch, block):
+    """Classes of equal signatures hold look-alikes and copies; vectors aren't transitive, may be missing or without edges."""
+    monkeypatch.setattr(duplicates, "BLOCK", block)
+    rnd = random.Random(11)
+    turn = lambda x: [math.cos(x), math.sin(x)]
+    base = [(rnd.getrandbits(64), rnd.getrandbits(64)) for _ in range(6)]
+    rows = []
+    for k in range(240):
+        p, d = rnd.choice(base)
+        for _ in range(rnd.choice([0, 0, 0, 2, 5, 8])):
+            p ^= 1 << rnd.randrange(64)
+        v = rnd.choice([turn(rnd.randrange(12) * 0.5)] * 14 + [[0.0, 0.0], None])
+        rows.append((k, rnd.choice([f"c{k}"] * 9 + [None]), signed(p), signed(d), v, rnd.choice(["train", "test", "val", None])))
+    rows += [(300 + k, "copy", 1, 1, [0.0, 0.0], s) for k, s in enumerate(["train", "test", "test"])] + [(400, "d", 1, 1, [0.0, 0.0], "train")]
+    # The look-alike with the smallest key must not hide that the other two are one picture.
+    rows += [(500, "r", 99, 99, turn(0), "train"), (501, "m", 99, 99, turn(1.5), "test"), (502, "t", 99, 99, turn(1.6), "train")]
+    df = spark.createDataFrame(rows, "id long, c string, h long, d long, v array<double>, split string")
+
+    def linked(a, b):
+        if a[1] is not None and a[1] == b[1]:
+            return True
+        near = bits(a[2], b[2]) <= 6 and bits(a[3], b[3]) <= 10
+        return near and (a[4] is None or b[4] is None or sum(x * y for x, y in zip(a[4], b[4])) >= 0.65)
+
+    of = {r[0]: r[5] for r in rows}
+    pairs = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and linked(a, b)}
+    dups = Duplicates(df, "id", "c", "h", "d", 6, 10, None, "v", 0.65)
+    links = {(r.a, r.b) for r in dups.links.collect()}
+    assert links <= pairs and (501, 502) in links and (500, 501) not in links and (300, 400) not in links
+    assert {r.node: r.component for r in dups.components.collect()} == components_of(pairs)
+    got = {r.id for r in dups.touching(F.col("split") == "test", F.col("split") == "train").collect()}
+    assert got == {x for a, b in pairs for x, y in ((a, b), (b, a)) if of[x] == "test" and of[y] == "train"}
+    empty = Duplicates(df.limit(0), "id", "c", "h", "d", 6, 10, None, "v", 0.65)
+    assert empty.links.count() == empty.components.count() == 0
+
+
 def test_components(spark):
     rnd = random.Random(1)
     pairs = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(170)] + [(1000 + k, 1001 + k) for k in range(60)]
