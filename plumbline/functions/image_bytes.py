@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import struct
 
 import numpy as np
@@ -65,21 +66,27 @@ def exif_tags(tiff: bytes) -> dict[int, object]:
     return out
 
 
+#: A marker of a JPEG, with bytes that fill up before it. In coded data FF 00 stands for FF, and D0 to D7 only restart the decoder.
+_MARKER, _AFTER_SCAN = re.compile(rb"\xff+([^\x00\xff])"), re.compile(rb"\xff+([^\x00\xff\xd0-\xd7])")
+
+
 def _jpeg(data: bytes) -> dict:
+    """Segments and scans up to the end marker of the main image; whatever follows it doesn't matter, and neither do end markers within
+    segments, such as those of a thumbnail."""
     out: dict = {"format": "JPEG", "n_frames": 1}
-    at = 2
-    while at + 4 <= len(data):
-        if data[at] != 0xFF:
+    at, scans = 2, 0
+    while True:
+        found = (_AFTER_SCAN if scans else _MARKER).search(data, at)
+        if found is None:
+            raise ValueError("image file is truncated")
+        at, marker = found.end() - 2, found.group(1)[0]
+        if marker == 0xD9:
+            if not scans:
+                raise ValueError("image file is truncated")
             break
-        marker = data[at + 1]
-        if marker == 0xFF:
-            at += 1
-            continue
-        if marker in (0x01, *range(0xD0, 0xD8)):
+        if marker in (0x01, *range(0xD0, 0xD9)):
             at += 2
             continue
-        if marker in (0xD9, 0xDA):
-            break
         size = struct.unpack_from(">H", data, at + 2)[0]
         body = data[at + 4 : at + 2 + size]
         if marker == 0xDB:
@@ -95,9 +102,8 @@ def _jpeg(data: bytes) -> dict:
         elif 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC) and len(body) >= 6:
             out["height"], out["width"] = struct.unpack_from(">HH", body, 1)
             out["mode"] = {1: "L", 3: "RGB", 4: "CMYK"}.get(body[5])
+        scans += marker == 0xDA
         at += 2 + size
-    if b"\xff\xd9" not in data[-32:]:
-        raise ValueError("image file is truncated")
     return out
 
 

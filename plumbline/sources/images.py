@@ -21,7 +21,7 @@ from ..operators.splitting import group_from_name
 from ..storage import _path, cut
 
 #: Bump when a feature changes, so that stored ones are computed anew.
-VERSION = "v1"
+VERSION = "v2"
 #: Listed files per piece written to the shared folder.
 PIECE = 500_000
 BASE = ("path", "relpath", "label", "split", "group", "domain")

@@ -53,6 +53,26 @@ def test_bytes(spark):
         assert broken == b"II*\x00"
 
 
+def test_end_of_jpeg(spark, tmp_path):
+    """The main image's end counts, not the last bytes of the file."""
+    root, whole = str(tmp_path / "d"), jpeg(spark, texture(np.random.default_rng(1)))
+    thumbnail = jpeg(spark, texture(np.random.default_rng(2), 24))
+    segment = lambda body: b"\xff\xe2" + (len(body) + 2).to_bytes(2, "big") + body
+    framed = whole[:2] + segment(thumbnail) + whole[2:]
+    complete = {"zeros": whole + bytes(5000), "video": whole + b"\x00\x00\x00\x18ftypmp42" * 40, "second": whole + thumbnail[:-200], "filled": whole[:-2] + b"\xff\xff" + whole[-2:], "framed": framed}
+    cut = {"thumbnail": framed[: 2 + 4 + len(thumbnail)], "inside": framed[: 6 + len(thumbnail) - 1], "late": whole[:-40] + segment(thumbnail), "start": whole[:2] + b"\xff\xd9", "open": whole[:-2]}
+    for name, data in (complete | cut).items():
+        put(root, f"train/{'a' if name in complete else 'b'}/{name}.jpg", data)
+        if name in complete:
+            assert image_bytes.describe(data)["width"] == 96
+        else:
+            with pytest.raises(ValueError):
+                image_bytes.describe(data)
+    rows = {r.relpath.split("/")[-1][:-4]: r for r in with_features(load(spark, root)).df.collect()}
+    assert {n for n, r in rows.items() if r.readable} == set(complete)
+    assert rows["zeros"].phash == rows["framed"].phash is not None
+
+
 def test_folders(spark, tmp_path):
     root = str(tmp_path / "d")
     a = png(texture(np.random.default_rng(1), 20))
