@@ -186,6 +186,19 @@ class Duplicates:
             self._components = cut(connected_components(self.links, "a", "b"))
         return self._components
 
+    @property
+    def _members(self) -> DataFrame:
+        """id, rep: the files with a link by signatures, and their class."""
+        stars = self._near.where("star").select(F.col("a").alias("rep"), F.col("b").alias("id"))
+        ends = self._near.select(F.col("a").alias("id")).union(self._near.select("b")).distinct()
+        return ends.join(stars.groupBy("id").agg(F.min("rep").alias("rep")), "id", "left").select("id", F.coalesce("rep", "id").alias("rep"))
+
+    @property
+    def _both(self) -> DataFrame:
+        """rep, other: linked classes, either way round."""
+        far = self._near.where("NOT star")
+        return far.select("a", "b").union(far.select("b", "a")).toDF("rep", "other")
+
     def touching(self, target: Column, source: Column) -> DataFrame:
         """id: the files of ``target`` (a condition on the columns of ``df``) that have a direct duplicate in ``source``, byte-identical or by
         signatures. Links run between representatives, so a class passes on whether it holds a file of ``source``."""
@@ -193,17 +206,27 @@ class Duplicates:
         same = self.exact.join(flags, "id")
         hot = same.groupBy("first").agg(F.max("s").alias("s")).where("s").select("first")
         by_content = same.where("t").join(hot, "first", "left_semi").select("id")
-        stars = self._near.where("star").select(F.col("a").alias("rep"), F.col("b").alias("id"))
-        ends = self._near.select(F.col("a").alias("id")).union(self._near.select("b")).distinct()
-        member = ends.join(stars.groupBy("id").agg(F.min("rep").alias("rep")), "id", "left").select("id", F.coalesce("rep", "id").alias("rep"))
-        flagged = cut(member.join(flags, "id"))
+        flagged = cut(self._members.join(flags, "id"))
         holds = flagged.groupBy("rep").agg(F.max("s").alias("s"), F.count_if("s").alias("n"))
-        far = self._near.where("NOT star")
-        both = far.select("a", "b").union(far.select("b", "a")).toDF("rep", "other")
+        both = self._both
         reached = both.join(holds.where("s").select(F.col("rep").alias("other")), "other", "left_semi").select("rep")
         reached = reached.union(holds.where("s").select("rep")).distinct()
         return by_content.union(flagged.where("t").join(reached, "rep", "left_semi").select("id")).distinct()
 
+    def conflicting(self, column: str) -> DataFrame:
+        """id: the files that have a direct duplicate, byte-identical or by signatures, with another value of ``column``; null is a value. Counted
+        per class, whose least and largest values tell, so pairs are never formed."""
+        bounds = lambda lo, hi: (F.min(lo).alias("lo"), F.max(hi).alias("hi"))
+        value = F.struct(F.col(column).isNull().alias("none"), F.col(column).alias("value"))  # structs of nulls compare
+        values = self.df.select(F.col(self.key).alias("id"), value.alias("x"))
+        same = self.exact.join(values, "id")
+        by_content = same.join(same.groupBy("first").agg(*bounds("x", "x")).where("lo <> hi"), "first", "left_semi").select("id")
+        valued = cut(self._members.join(values, "id"))
+        own = cut(valued.groupBy("rep").agg(*bounds("x", "x")))
+        met = self._both.join(own.withColumnRenamed("rep", "other"), "other").select("rep", "lo", "hi")
+        around = own.unionByName(met).groupBy("rep").agg(*bounds("lo", "hi"))
+        return by_content.union(valued.join(around, "rep").where("NOT (lo <=> x AND hi <=> x)").select("id")).distinct()
+
     def with_columns(self, *columns: str) -> DataFrame:
         """The links with columns of both ends, as a_<name> and b_<name>."""
         side = lambda s: self.df.select(F.col(self.key).alias(s), *[F.col(c).alias(f"{s}_{c}") for c in columns])

@@ -190,7 +190,7 @@ def label_conflict(ctx):
     n = bad.count()
     if not n:
         return [(PASS, "Copies agree on their label")]
-    files = bad.select(F.explode(F.array("a", "b")).alias("f")).distinct().count()
+    files = ctx.duplicates.conflicting("label").count()
     return [(BLOCKER, f"{n:,} links join different labels ({files:,} files)", {"pairs": n, "images": files}, _pairs(ctx, bad, "label"), "A picture can't be of both classes. Settle the label of each pair and drop the other copy.", "", ctx.pair_grid("leak_label_conflict", bad))]
 
 

@@ -1,5 +1,6 @@
 import math
 import random
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,8 @@ from plumbline.operators import audits, duplicates, probes, relational, splittin
 from plumbline.operators.duplicates import Duplicates, chunks, exact_groups, near_hashes
 from plumbline.operators.graph import connected_components
 from plumbline.operators.skew import hot_keys, join_skewed
+from plumbline.plans import checks
+from plumbline.plans.findings import Severity
 
 MASK = 2**64 - 1
 
@@ -134,6 +137,39 @@ def test_vectors_equal_all_pairs(spark, monkeypatch, block):
     assert empty.links.count() == empty.components.count() == 0
 
 
+@pytest.mark.parametrize("vector", [None, "v"])
+def test_conflicts_equal_all_pairs(spark, vector):
+    rnd = random.Random(5)
+    turn = lambda x: [math.cos(x), math.sin(x)]
+    base = [(rnd.getrandbits(64), rnd.getrandbits(64)) for _ in range(40)]
+    rows = []
+    for k in range(200):
+        p, d = rnd.choice(base)
+        for _ in range(rnd.choice([0, 0, 3, 6])):
+            p ^= 1 << rnd.randrange(64)
+        rows.append((k, rnd.choice([None, f"c{k}", f"c{k}", f"c{k // 7}"]), signed(p), signed(d), turn(rnd.randrange(8) * 0.5), rnd.random() < 0.1, rnd.choice(["x"] * 6 + ["y", None])))
+    df = spark.createDataFrame(rows, "id long, c string, h long, d long, v array<double>, blank boolean, label string")
+
+    def linked(a, b):
+        if a[1] is not None and a[1] == b[1]:
+            return True
+        near = not a[5] and not b[5] and bits(a[2], b[2]) <= 6 and bits(a[3], b[3]) <= 10
+        return near and (not vector or sum(x * y for x, y in zip(a[4], b[4])) >= 0.65)
+
+    want = {x[0] for a in rows for b in rows if a[0] < b[0] and linked(a, b) and a[6] != b[6] for x in (a, b)}
+    got = [r.id for r in Duplicates(df, "id", "c", "h", "d", 6, 10, F.col("blank"), vector, 0.65).conflicting("label").collect()]
+    assert len(got) == len(set(got)) and set(got) == want and 0 < len(want) < 200
+
+
+def test_label_conflict_counts_every_file(spark):
+    """A class of 50 files of one label, the smallest key among them, and one of another."""
+    rows = [(f"{k:03d}", f"c{k}", 5, 6, "a" if k < 50 else "b", f"r{k}") for k in range(51)] + [("900", "d", -1, -1, "a", "r900"), ("901", "e", -1, -1, "a", "r901")]
+    dups = Duplicates(spark.createDataFrame(rows, "id string, c string, h long, d long, label string, relpath string"), "id", "c", "h", "d", 6, 10)
+    ctx = SimpleNamespace(duplicates=dups, max_examples=3, pair_grid=lambda *_: [])
+    found = checks.label_conflict(ctx)[0]
+    assert found[0] is Severity.BLOCKER and found[2] == {"pairs": 1, "images": 51}
+
+
 def test_components(spark):
     rnd = random.Random(1)
     pairs = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(170)] + [(1000 + k, 1001 + k) for k in range(60)]
