@@ -28,28 +28,35 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Items:
-    """The windows and pieces of some items, ready for scanning."""
+    """The windows and pieces of some items, ready for scanning. With ``short``, an item of fewer words than a window is one window of its own
+    length, with its share of the budget, rounded down."""
 
-    def __init__(self, items: list[tuple[int, str]], window: int, budget: int):
-        self.window, self.budget, self.length = window, budget, window // (budget + 1)
+    def __init__(self, items: list[tuple[int, str]], window: int, budget: int, short: bool = False):
         self.number: dict[str, int] = {}
         self.ids: list[tuple[int, ...]] = []  # items with the same words are searched once
         same: dict[tuple[int, ...], list[int]] = defaultdict(list)
         for item, text in items:
             w = tuple(self.number.setdefault(x, len(self.number)) for x in words(text))
-            if len(w) >= window:
+            if len(w) >= (1 if short else window):
                 same[w].append(item)
         self.texts = list(same)
         self.ids = [tuple(x) for x in same.values()]
+        self.shapes: list[tuple[int, int, int]] = []  # of each text: words of a window, budget, words of a piece
         self.at: dict[tuple[int, ...], list[tuple[int, int]]] = defaultdict(list)  # piece -> (text, first word of its window)
         for t, w in enumerate(self.texts):
-            for s in range(len(w) - window + 1):
-                for p in range(budget + 1):
-                    a = s + p * self.length
-                    self.at[w[a : a + self.length]].append((t, s, p))
-        codes = np.array([x for k in self.at for x in k], np.int64).reshape(-1, self.length)
-        self.codes = np.unique(self.code(codes.ravel(), self.length)[:: self.length]) if len(codes) else np.zeros(0, np.uint64)
-        self.search = lru_cache(100_000)(lambda t, s: myers(list(self.texts[t][s : s + window])))
+            size = min(window, len(w))
+            own = budget * size // window
+            length = size // (own + 1)
+            self.shapes.append((size, own, length))
+            for s in range(len(w) - size + 1):
+                for p in range(own + 1):
+                    a = s + p * length
+                    self.at[w[a : a + length]].append((t, s, p))
+        self.codes: dict[int, np.ndarray] = {}  # by the length of pieces
+        for length in {len(k) for k in self.at}:
+            codes = np.array([x for k in self.at if len(k) == length for x in k], np.int64)
+            self.codes[length] = np.unique(self.code(codes, length)[::length])
+        self.search = lru_cache(100_000)(lambda t, s: myers(list(self.texts[t][s : s + self.shapes[t][0]])))
 
     @staticmethod
     def code(numbers: np.ndarray, length: int) -> np.ndarray:
@@ -72,32 +79,34 @@ class Items:
             flat.append(unknown)
             ends.append(len(flat))
         numbers = np.array(flat, np.int64)
-        codes = self.code(numbers, self.length)
-        hits = np.flatnonzero(np.isin(codes, self.codes)) if len(self.codes) else np.zeros(0, np.int64)
-        docs = np.searchsorted(ends, hits, "right")
         best: dict[tuple[int, int], int] = {}
         done: set[tuple[int, int, int, int]] = set()
-        for hit, doc in zip(hits.tolist(), docs.tolist(), strict=True):
-            first = ends[doc - 1] if doc else 0
-            for t, s, p in self.at.get(tuple(flat[hit : hit + self.length]), ()):
-                start = hit - p * self.length
-                if best.get((doc, t)) == 0 or (doc, t, s, start) in done:
-                    continue
-                done.add((doc, t, s, start))
-                lo, hi = max(first, start - self.budget), min(ends[doc] - 1, start + self.window + self.budget)
-                distance, _ = self.search(t, s)(flat[lo:hi])
-                if distance <= self.budget and distance < best.get((doc, t), self.budget + 1):
-                    best[doc, t] = distance
+        for length, known in self.codes.items():
+            hits = np.flatnonzero(np.isin(self.code(numbers, length), known))
+            docs = np.searchsorted(ends, hits, "right")
+            for hit, doc in zip(hits.tolist(), docs.tolist(), strict=True):
+                first = ends[doc - 1] if doc else 0
+                for t, s, p in self.at.get(tuple(flat[hit : hit + length]), ()):
+                    start = hit - p * length
+                    if best.get((doc, t)) == 0 or (doc, t, s, start) in done:
+                        continue
+                    done.add((doc, t, s, start))
+                    window, budget, _ = self.shapes[t]
+                    lo, hi = max(first, start - budget), min(ends[doc] - 1, start + window + budget)
+                    distance, _ = self.search(t, s)(flat[lo:hi])
+                    if distance <= budget and distance < best.get((doc, t), budget + 1):
+                        best[doc, t] = distance
         out = [(ids[doc], item, distance) for (doc, t), distance in best.items() for item in self.ids[t]]
         return tuple(map(list, zip(*out, strict=True))) if out else ([], [], [])
 
 
-def leaks(documents: DataFrame, items: DataFrame, window: int = WINDOW, budget: int = BUDGET, block: int = BLOCK) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, window: int = WINDOW, budget: int = BUDGET, block: int = BLOCK, short: bool = False) -> DataFrame:
     """doc_id, item_id and the smallest word edit distance, at most ``budget``, of a window of the item to a stretch of the
     document; each pair once, only where there is one.
 
-    ``documents`` has doc_id and text, ``items`` item_id and item_text. Null, empty and too short texts hold no window. Items
-    with equal words come out side by side. Empty tables give an empty result. The corpus is read once per ``block`` characters
+    ``documents`` has doc_id and text, ``items`` item_id and item_text. Null and empty texts hold no window, nor do items of
+    fewer words than ``window``, unless ``short``: then each is one window as a whole, with its share of the budget (of 2 in 13: none up to 6
+    words, 1 above). Items with equal words come out side by side. Empty tables give an empty result. The corpus is read once per ``block`` characters
     of items, which are all that a task is sent.
     """
     blocks, size = [[]], 0
@@ -111,7 +120,7 @@ def leaks(documents: DataFrame, items: DataFrame, window: int = WINDOW, budget:
 
     def scan(own):
         def run(batches):
-            ready = Items(own, window, budget)
+            ready = Items(own, window, budget, short)
             for batch in batches:
                 for k in range(0, batch.num_rows, 500):
                     part = batch.slice(k, 500)

@@ -91,23 +91,23 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
 # 8: test items in the corpus
 
 
-def _leaks(spark: SparkSession, d: str) -> DataFrame:
-    return leakage.leaks(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "eval_items", "item_id", "item_text"))
+def _leaks(spark: SparkSession, d: str, short: bool = False) -> DataFrame:
+    return leakage.leaks(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "eval_items", "item_id", "item_text"), short=short)
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    """The matches without an edit."""
+    """The matches of whole windows without an edit."""
     return _leaks(spark, d).where(F.col("distance") == 0).select("doc_id", "item_id")
 
 
 def p8_near(spark: SparkSession, d: str) -> DataFrame:
-    """All matches with at most two edited words in a window, with their distance."""
-    return _leaks(spark, d)
+    """All matches with at most two edited words in a window, with their distance; items shorter than a window are one of their own length."""
+    return _leaks(spark, d, short=True)
 
 
 def p8_items(spark: SparkSession, d: str) -> DataFrame:
-    """Per item the documents that hold a passage of it, exactly or nearly."""
-    return _leaks(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_documents"), F.count_if(F.col("distance") == 0).alias("n_exact"))
+    """Per item the documents that hold a passage of it, exactly or nearly; short items as in p8_near."""
+    return _leaks(spark, d, short=True).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_documents"), F.count_if(F.col("distance") == 0).alias("n_exact"))
 
 
 # 9: long exact spans

@@ -61,3 +61,44 @@ def test_blocks_and_empty_tables(spark):
     for block in (10**6, 1):
         assert {tuple(r) for r in leaks(docs, items, block=block).collect()} == {(7, 1, 0), (7, 4, 0)}
     assert leaks(docs, items.limit(0)).count() == leaks(docs.limit(0), items).count() == 0
+
+
+def test_short_items_equal_brute_force():
+    """With short, an item of fewer words than a window is found as a whole, with its share of the budget."""
+    rnd = random.Random(9)
+    vocab = [f"w{k}" for k in range(12)]
+    items = [(k, " ".join(rnd.choice(vocab) for _ in range(1 + k % 15))) for k in range(45)] + [(90, "")]
+    docs = []
+    for k in range(150):
+        w = rnd.choice(items)[1].split()
+        for _ in range(rnd.choice([0, 0, 1, 2])):
+            if w:
+                at = rnd.randrange(len(w))
+                w = rnd.choice([w[:at] + w[at + 1 :], w[:at] + ["zz"] + w[at:], w[:at] + ["zz"] + w[at + 1 :]])
+        body = [rnd.choice([*vocab, "o", "o", "o"]) for _ in range(rnd.randrange(20))]
+        docs.append((k, " ".join(body[:8] + w + body[8:])))
+    want = {}
+    for d, t in docs:
+        for i, text in items:
+            w, s = words(text), words(t)
+            if w:
+                n = min(13, len(w))
+                best = min(distance(w[a : a + n], s) for a in range(len(w) - n + 1))
+                if best <= 2 * n // 13:
+                    want[d, i] = best
+    texts = list(map(list, zip(*docs, strict=True)))
+    got = {(d, i): x for d, i, x in zip(*Items(items, 13, 2, short=True).scan(*texts), strict=True)}
+    assert got == want and {1 + i % 15 for _, i in want} >= set(range(1, 13))
+    long = {(d, i): x for d, i, x in zip(*Items(items, 13, 2).scan(*texts), strict=True)}
+    assert long == {k: x for k, x in want.items() if 1 + k[1] % 15 >= 13}
+
+
+def test_queries_on_short_items(spark, tmp_path):
+    from plumbline.llm import queries
+
+    text = " ".join(f"t{k}" for k in range(14))
+    spark.createDataFrame([(1, text), (2, "Rank B and A"), (3, None), (4, "")], "item_id long, item_text string").write.parquet(f"{tmp_path}/eval_items.parquet")
+    spark.createDataFrame([(7, f"x {text} y"), (8, "now rank b, and a!"), (9, "rank b or a")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    of = lambda f: {tuple(r) for r in f(spark, str(tmp_path)).collect()}
+    assert of(queries.p8_near) == {(7, 1, 0), (8, 2, 0)} and of(queries.p8_found) == {(7, 1)}
+    assert of(queries.p8_items) == {(1, 1, 1), (2, 1, 1)}
