@@ -1,12 +1,10 @@
 """The same or nearly the same records in a held-out split and in the training split.
 
-Every record is a text of digits: its content hash, then its two 64-bit signatures. The suffixes of these texts that
-start at an anchor (the content hash, or one of the eight blocks of the first signature) are partitioned by their first
-digits, and each partition builds its suffix array: suffixes sorted, and the common prefix of neighbours measured. Runs
-of neighbours with a long enough common prefix share a span. If two signatures differ in at most 6 bits, at least two
-of the eight blocks are free of errors; so a suffix is the block at its anchor followed by one later block at a time,
-and every qualifying pair shares such a span of 16 bits, at exactly one place that is its first. Pairs of a run that
-cross the splits are then checked exactly.
+This is multi-index hashing, not a suffix array: signatures that differ in scattered bits need not share any long stretch of digits, so no
+suffixes of theirs are neighbours. (``suffixes`` has the suffix array and what it can tell.) If two signatures differ in at most 6 bits, at
+least two of their eight blocks are free of errors. Rows are keyed by each block but the last; where they meet, each partition sorts them by
+one later block at a time, adjacent or not, so that every qualifying pair shares such a pair of blocks, at exactly one place that is its
+first. Content hashes are keyed by one 64-bit digest and compared by two. Pairs with equal keys that cross the splits are then checked exactly.
 """
 
 from __future__ import annotations
@@ -46,8 +44,7 @@ def _block(h: Column, k: int) -> Column:
 
 
 def _suffixes(rows: DataFrame) -> DataFrame:
-    """anchor 0..6: a suffix from that block of the first signature on; anchor 7: the content hash. bucket: anchor and
-    first digits."""
+    """anchor 0..6: keyed by that block of the first signature; anchor 7: by the content hash. bucket: anchor and block."""
     of_hash = F.array(*[F.struct(F.lit(k).alias("anchor"), _block(F.col("phash"), k).cast("int").alias("digits"), F.col("phash").alias("p"), F.col("dhash").alias("d")) for k in range(BLOCKS - 1)])
     sha = F.col("sha")
     code = F.xxhash64("sha")  # two digests of the content hash stand for its digits
@@ -104,11 +101,11 @@ def _overlaps(max_p: int, max_d: int):
             if not len(rows):
                 continue
             nxt = p[rows] if sha else (p[rows] >> np.uint64(BITS * j)) & np.uint64(255)
-            # The suffix array: order of the suffixes (bucket, next digits); within equal ones train comes first.
+            # Sorted by both blocks; within equal ones train comes first.
             order = rows[np.lexsort((held[rows], nxt, cell[rows], bucket[rows]))]
             nb, nc = bucket[order], cell[order]
             nn = p[order] if sha else (p[order] >> np.uint64(BITS * j)) & np.uint64(255)
-            new = np.ones(len(order), bool)  # where the common prefix with the neighbour is too short
+            new = np.ones(len(order), bool)  # where a block differs from the neighbour's
             new[1:] = (nb[1:] != nb[:-1]) | (nn[1:] != nn[:-1]) | (nc[1:] != nc[:-1])
             starts = np.flatnonzero(new)
             ends = np.append(starts[1:], len(order))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vocabulary import split_of
 from ..storage import table
-from . import grouped_split, hamming_overlap, leakage, paragraphs, quantiles, shared_spans, tokens
+from . import grouped_split, hamming_overlap, leakage, paragraphs, quantiles, shared_spans, suffixes, tokens
 from .components import components
 
 
@@ -32,6 +32,12 @@ def p2_counts(spark: SparkSession, d: str) -> DataFrame:
     return rows.where("held").join(per_file, "file_id").groupBy("split", "domain").agg(F.count(F.lit(1)).alias("n_files"), F.sum("n").alias("n_pairs"))
 
 
+def p2_method(spark: SparkSession, d: str) -> DataFrame:
+    """How much of each file's digits stands in files of the other side, by a suffix array."""
+    index = table(spark, d, "dataset_index", "file_id", "split", "domain", "readable", "contrast", "entropy", "sha256", "phash", "dhash")
+    return suffixes.coverage(hamming_overlap.records(index))
+
+
 # 3: splits that keep related files together
 
 
@@ -133,6 +139,7 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p2_found": p2_found,
     "p2_counts": p2_counts,
+    "p2_method": p2_method,
     "p3_method": p3_method,
     "p3_found": p3_found,
     "p3_balance": p3_balance,
