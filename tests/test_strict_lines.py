@@ -1,5 +1,6 @@
 import pytest
 
+from plumbline.sources import strict_lines
 from plumbline.sources.strict_lines import StrictLoad
 
 RAW = "line_id long, manifest_name string, line_no int, raw_line string"
@@ -85,8 +86,11 @@ def test_extra_columns_with_clashing_names(spark):
     assert StrictLoad(raw, classes).loaded().count() == 1
 
 
-@pytest.mark.parametrize("hot", [True, False])
-def test_one_manifest_holds_most_lines(spark, hot):
+@pytest.mark.parametrize("hot,limit", [(True, 0), (False, 0), (True, 10**7)])
+def test_one_manifest_holds_most_lines(spark, monkeypatch, hot, limit):
+    """With headers and labels that are few enough to be sent along, and with more."""
+    monkeypatch.setattr(strict_lines, "HEADS_BYTES", limit)
+    monkeypatch.setattr(strict_lines, "LABELS_LISTED", limit)
     rows = [(0, "big", 1, "path,label")] + [(k, "big" if hot or k % 2 else f"m{k % 300}", 2, "a.jpg,cat" if k % 3 else "a.jpg,cow") for k in range(1, 2000)]
     rows += [(10_000 + k, f"m{k}", 1, "label,path") for k in range(300)]
     got = StrictLoad(spark.createDataFrame(rows, RAW), spark.createDataFrame([("cat",)], CLASSES))
