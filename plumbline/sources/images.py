@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from ..functions import image_bytes, pixels
 from ..functions.vocabulary import IMAGE_EXTENSIONS, SPLITS, trimmed
 from ..operators.audits import ext_format
-from ..operators.incremental import Target, feature_key
+from ..operators.incremental import Target, changed
 from ..operators.splitting import group_from_name
 from ..storage import _path, cut
 
@@ -295,27 +295,26 @@ def extract(files: DataFrame, target: int | None = None) -> DataFrame:
 
 def with_features(index: Index, target: int | None = None, cache: str | None = None) -> Index:
     """The index with its features. With a ``cache`` folder, files whose path, size, time, extractor version and target size it holds are taken
-    from there; only the others are read, and then published to it."""
-    files = index.df.select("path", "bytes", "mtime_ns")
+    from there; only the others are read, and then published to it in the place of what was known of their earlier states."""
+    files = index.df.select("path", "bytes", "mtime_ns").distinct()
     if cache is None:
-        features = cut(extract(files.select("path", "bytes").distinct(), target))
+        features = cut(extract(files.select("path", "bytes"), target))
     else:
-        spark = index.df.sparkSession
-        schema = T.StructType.fromDDL("key string, " + META + ", " + PIXELS.split(", ", 2)[2].rsplit(", ", 1)[0] + ", readable boolean")
-        store = Target(spark, cache)
-        keyed = cut(files.select("path", "bytes", "mtime_ns").distinct().withColumn("key", F.when(F.col("bytes").isNotNull() & F.col("mtime_ns").isNotNull(), feature_key(VERSION, f"t{target}"))))
+        schema = T.StructType.fromDDL("key string, version string, " + META + ", " + PIXELS.split(", ", 2)[2].rsplit(", ", 1)[0] + ", readable boolean")
+        store = Target(index.df.sparkSession, cache)
+        state = F.when(F.col("bytes").isNotNull() & F.col("mtime_ns").isNotNull(), F.concat_ws("|", F.col("bytes").cast("string"), F.col("mtime_ns").cast("string"), F.lit(VERSION)))
+        keyed = cut(files.select("path", "bytes", F.concat("path", F.lit(f"|t{target}")).alias("key"), state.alias("version")))
         base = store.version()
-        known = store.read(schema)
-        todo = keyed.join(known.select("key"), "key", "left_anti")
+        known = store.read(schema, base)
+        todo = cut(changed(keyed, known))
         fresh = None
         if not todo.isEmpty():
-            fresh = cut(extract(todo.select("path", "bytes"), target).join(todo.select("path", "key"), "path"))
-            fresh = fresh.select(*[f.name for f in schema.fields])
-            store.publish(fresh.where("key IS NOT NULL"), base)
-        features = keyed.select("key").join(known, "key").drop("key")
+            fresh = cut(extract(todo.select("path", "bytes"), target).join(todo.select("path", "key", "version"), "path")).select(*[f.name for f in schema.fields])
+            store.publish(fresh.where("version IS NOT NULL"), base, schema)
+        features = known.join(keyed.select("key", "version"), ["key", "version"], "left_semi")
         if fresh is not None:
-            features = features.unionByName(fresh.drop("key"))
-        features = cut(features.dropDuplicates(["path"]))
+            features = features.unionByName(fresh)
+        features = cut(features.drop("key", "version"))
     df = index.df.drop("bytes", "mtime_ns").join(features, "path", "left")
     df = df.withColumn("readable", F.coalesce("readable", F.lit(False)))
     return replace(index, df=cut(df))

@@ -1,7 +1,12 @@
+import os
+import random
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from plumbline.operators.incremental import Target, complete_object, pending, run_once
+from plumbline.operators.incremental import Target, changed, complete_object, pending, run_once
 
 INDEX = "file_id long, path string, bytes long, mtime_ns long"
 FEATURES = "key string, data string, run_id long"
@@ -27,26 +32,88 @@ def test_pending(spark):
     assert pending(index.withColumn("key", F.lit(1)), features.withColumn("path", F.lit(1)), runs.withColumn("key", F.lit(1))).count() == 5
 
 
+SCHEMA = T.StructType([T.StructField("key", T.StringType()), T.StructField("version", T.LongType()), T.StructField("v", T.LongType())])
+
+
+def source_of(spark, *rows):
+    return spark.createDataFrame(list(rows), "key string, version long, x long")
+
+
+def step(df):
+    return df.select("key", "version", (F.col("x") * 10).alias("v"))
+
+
+def held(target):
+    return sorted(map(tuple, target.read(SCHEMA).collect()))
+
+
+def test_changed(spark):
+    source = source_of(spark, ("a", 1, 1), ("a", 2, 2), ("a", 2, 2), ("b", 1, 3), ("c", None, 4), ("c", None, 4), (None, 1, 5), ("d", 1, 6))
+    done = spark.createDataFrame([("a", 1), ("b", 1), ("c", None), ("d", 2)], "key string, version long")
+    assert sorted((r.key, r.version) for r in changed(source, done).collect()) == [("a", 2), ("c", None), ("d", 1)]
+    assert changed(source.limit(0), done).count() == 0 and changed(source, done.limit(0)).count() == 4
+
+
 def test_runs_survive_failures_and_rivals(spark, tmp_path):
-    schema = spark.createDataFrame([], "key string, v int").schema
     target = Target(spark, f"file://{tmp_path}/t")
-    source = spark.createDataFrame([("a1", 1), ("b1", 2), ("b1", 2)], "key string, x int")
-    step = lambda df: df.select("key", (F.col("x") * 10).alias("v"))
+    source = source_of(spark, ("a", 1, 1), ("b", 1, 2), ("b", 1, 2))
 
     def broken(df):
         raise RuntimeError("lost")
 
     with pytest.raises(RuntimeError):
-        run_once(source, target, schema, broken)
-    assert target.version() == 0 and target.read(schema).count() == 0
-    assert run_once(source, target, schema, step) == 1
-    assert run_once(source, target, schema, step) == 1  # nothing new
+        run_once(source, target, SCHEMA, broken)
+    assert target.version() == 0 and held(target) == []
+    assert run_once(source, target, SCHEMA, step) == 1
+    assert run_once(source, target, SCHEMA, step) == 1  # nothing new
     with pytest.raises(Exception):  # fails while writing: nothing is published
-        run_once(source.unionByName(spark.createDataFrame([("c1", 0)], "key string, x int")), target, schema, lambda df: df.select("key", F.raise_error(F.lit("no")).cast("int").alias("v")))
+        run_once(source.union(source_of(spark, ("c", 1, 0))), target, SCHEMA, lambda df: df.select("key", "version", F.raise_error(F.lit("no")).cast("long").alias("v")))
     assert target.version() == 1
-    more = source.unionByName(spark.createDataFrame([("a2", 3)], "key string, x int"))
-    assert run_once(more, target, schema, step) == 2
-    assert sorted(map(tuple, target.read(schema).collect())) == [("a1", 10), ("a2", 30), ("b1", 20)]
+    assert run_once(source.union(source_of(spark, ("c", 1, 3))), target, SCHEMA, step) == 2
+    assert held(target) == [("a", 1, 10), ("b", 1, 20), ("c", 1, 30)]
     with pytest.raises(FileExistsError):  # a rival published version 2 first
-        target.publish(spark.createDataFrame([("z", 1)], schema), 1)
-    assert target.read(schema).count() == 3
+        target.publish(spark.createDataFrame([("z", 1, 1)], SCHEMA), 1)
+    assert len(held(target)) == 3
+    target.vacuum(1)
+    assert len(held(target)) == 3 and target.version() == 2
+
+
+def test_a_new_version_takes_the_place_of_the_old_one(spark, tmp_path):
+    target = Target(spark, f"file://{tmp_path}/t")
+    rows = {k: (k, 1, n) for n, k in enumerate("abcdefghijklmnop")}
+    run_once(source_of(spark, *rows.values()), target, SCHEMA, step)
+    rng = random.Random(3)
+    for run in range(2, 14):  # small runs, so that parts pile up, are merged, and lists of gone keys too
+        for k in rng.sample(sorted(rows), 2):
+            rows[k] = (k, run, run * 100 + ord(k[0]))
+        rows[f"new{run}"] = (f"new{run}", run, run)
+        assert run_once(source_of(spark, *rows.values()), target, SCHEMA, step) == run
+        assert held(target) == sorted((k, v, 10 * x) for k, v, x in rows.values())
+        assert len(target._lists(run)["parts"]) <= 6
+    one = source_of(spark, *rows.values()).where("key = 'a'")
+    assert run_once(one, target, SCHEMA, step) == 13  # what the source lacks stays, and is not due
+    before = held(target)
+    assert target.vacuum(2) and held(target) == before and target._versions() == [12, 13]
+
+
+def test_of_two_rivals_one_wins(spark, tmp_path):
+    target = Target(spark, f"file://{tmp_path}/t")
+    for name in ("000000000001.json", "000000000002.json"):
+        with ThreadPoolExecutor(8) as pool:
+            assert sum(pool.map(lambda k, n=name: target._create(n, f"{k}"), range(32))) == 1
+    assert not [n for n in os.listdir(f"{tmp_path}/t/_versions") if n.endswith(".staged")]
+
+
+def test_rivals_with_whole_runs(spark, tmp_path):
+    folder = f"file://{tmp_path}/t"
+
+    def run(k):
+        try:
+            Target(spark, folder).publish(spark.createDataFrame([(f"k{k}", 1, k)], SCHEMA), 0)
+            return k
+        except FileExistsError:
+            return None
+
+    with ThreadPoolExecutor(4) as pool:
+        won = [k for k in pool.map(run, range(4)) if k is not None]
+    assert len(won) == 1 and held(Target(spark, folder)) == [(f"k{won[0]}", 1, won[0])]
