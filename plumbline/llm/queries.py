@@ -14,28 +14,23 @@ from .components import components
 # 2: the same or nearly the same files across splits
 
 
-def _overlaps(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    index = table(spark, d, "dataset_index", "file_id", "split", "domain", "readable", "contrast", "entropy", "sha256", "phash", "dhash")
-    rows = hamming_overlap.records(index)
-    return rows, hamming_overlap.overlaps(rows)
+def _records(spark: SparkSession, d: str) -> DataFrame:
+    return hamming_overlap.records(table(spark, d, "dataset_index", "file_id", "split", "domain", "readable", "contrast", "entropy", "sha256", "phash", "dhash"))
+
+
+def p2_method(spark: SparkSession, d: str) -> DataFrame:
+    """How much of each file's content hash and signatures stands in files of the other side, by a suffix array."""
+    return suffixes.coverage(_records(spark, d))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    _, pairs = _overlaps(spark, d)
+    pairs = hamming_overlap.overlaps(_records(spark, d))
     return pairs.select(F.least("train_id", "held_id").alias("file_a"), F.greatest("train_id", "held_id").alias("file_b"))
 
 
 def p2_counts(spark: SparkSession, d: str) -> DataFrame:
     """Per split and domain of the held-out file: files that overlap with train, and pairs."""
-    rows, pairs = _overlaps(spark, d)
-    per_file = pairs.groupBy(F.col("held_id").alias("file_id")).agg(F.count(F.lit(1)).alias("n"))
-    return rows.where("held").join(per_file, "file_id").groupBy("split", "domain").agg(F.count(F.lit(1)).alias("n_files"), F.sum("n").alias("n_pairs"))
-
-
-def p2_method(spark: SparkSession, d: str) -> DataFrame:
-    """How much of each file's digits stands in files of the other side, by a suffix array."""
-    index = table(spark, d, "dataset_index", "file_id", "split", "domain", "readable", "contrast", "entropy", "sha256", "phash", "dhash")
-    return suffixes.coverage(hamming_overlap.records(index))
+    return hamming_overlap.Overlaps(_records(spark, d)).counts
 
 
 # 3: splits that keep related files together
@@ -137,9 +132,9 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "p2_method": p2_method,
     "p2_found": p2_found,
     "p2_counts": p2_counts,
-    "p2_method": p2_method,
     "p3_method": p3_method,
     "p3_found": p3_found,
     "p3_balance": p3_balance,
@@ -169,6 +164,21 @@ SQL = {
     "p2_found": _OVERLAP + "SELECT least(t, h) AS file_a, greatest(t, h) AS file_b FROM pairs",
     "p2_counts": _OVERLAP + "SELECT s AS split, domain, count(DISTINCT h) AS n_files, count(*) AS n_pairs FROM pairs GROUP BY s, domain",
 }
+#: All stretches of 8 bytes or more are listed; those that also stand on the other side mark the bytes they cover.
+SQL["p2_method"] = f"""
+WITH f AS (
+  SELECT DISTINCT file_id, {_SPLIT} AS split, lower(sha256) AS sha,
+    CASE WHEN phash IS NOT NULL AND dhash IS NOT NULL AND NOT coalesce(contrast < 2 OR entropy < 0.5, false) THEN phash END AS p, dhash AS d FROM dataset_index WHERE readable
+), t AS (
+  SELECT file_id, split, split <> 'train' AS held, coalesce(CASE WHEN regexp_full_match(sha, '([0-9a-f]{{2}})+') THEN sha END, '')
+    || CASE WHEN p IS NULL THEN '' ELSE lower(printf('%016x', p) || printf('%016x', d)) END AS text FROM f WHERE split IS NOT NULL
+), w AS (SELECT file_id, held, text, i, substring(text, 2 * i + 1, 16) AS k FROM (SELECT *, unnest(range(0, length(text) // 2 - 7)) AS i FROM t)
+), both_ AS (SELECT k FROM w GROUP BY k HAVING bool_or(held) AND bool_or(NOT held)), hit AS (SELECT w.* FROM w SEMI JOIN both_ USING (k)
+), covered AS (SELECT file_id, count(DISTINCT b) AS n_shared FROM (SELECT file_id, unnest(range(i, i + 8)) AS b FROM hit) GROUP BY file_id
+), long AS (SELECT file_id, held, n, substring(text, 2 * i + 1, 2 * n) AS x FROM (SELECT *, unnest(range(8, length(text) // 2 - i + 1)) AS n FROM hit)
+), same AS (SELECT x FROM long GROUP BY x HAVING bool_or(held) AND bool_or(NOT held)), longest AS (SELECT file_id, max(n) AS longest FROM long SEMI JOIN same USING (x) GROUP BY file_id)
+SELECT file_id, split, (length(text) // 2)::INTEGER AS n_bytes, n_shared::INTEGER AS n_shared, longest::INTEGER AS longest FROM t JOIN covered USING (file_id) JOIN longest USING (file_id)
+"""
 SQL["p3_found"] = f"""
 SELECT g AS group_key FROM (SELECT lower(trim(group_key, ' ' || chr(9))) AS g, {_SPLIT} AS s FROM dataset_index) WHERE g <> '' AND g <> 'nan' AND s IS NOT NULL
 GROUP BY g HAVING count(DISTINCT s) > 1

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from plumbline.llm import hamming_overlap as h
 
@@ -44,11 +45,13 @@ def rows_of(rnd, n):
     return rows + rows[:20]
 
 
-@pytest.mark.parametrize("cell", [50_000, 7])
-def test_equals_brute_force(spark, monkeypatch, cell):
+@pytest.mark.parametrize("cell,clean", [(50_000, 2), (7, 2), (50_000, 3), (5, 3)])
+def test_equals_brute_force(spark, monkeypatch, cell, clean):
     monkeypatch.setattr(h, "CELL", cell)
     rows = rows_of(random.Random(2), 500)
-    got = h.overlaps(h.records(spark.createDataFrame(rows, INDEX))).collect()
+    found = h.Overlaps(h.records(spark.createDataFrame(rows, INDEX)), clean=clean)
+    got = found.pairs.collect()
+    assert found.counts.agg(F.sum("n_pairs"), F.sum("n_files")).first() == (len(got), len({r.held_id for r in got}))
     pairs = [(r.train_id, r.held_id) for r in got]
     assert len(pairs) == len(set(pairs))
     assert set(pairs) == brute(rows)
@@ -66,4 +69,4 @@ def test_empty(spark):
     empty = spark.createDataFrame([], INDEX)
     assert h.overlaps(h.records(empty)).count() == 0
     with pytest.raises(ValueError):
-        h.overlaps(h.records(empty), max_p=7)
+        h.overlaps(h.records(empty), max_p=20)

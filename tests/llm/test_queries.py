@@ -15,5 +15,5 @@ def test_equal_to_sql(spark, name):
 
 def test_methods_stand_before_what_follows_the_plain_rule():
     names = list(queries.QUERIES)
-    for n in (3, 9):
+    for n in (2, 3, 9):
         assert [x for x in names if x.startswith(f"p{n}_")][0] == f"p{n}_method"
