@@ -10,15 +10,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..operators.incremental import Target
+from ..operators.skew import hot_keys, join_skewed
 
 K = 1600
+#: The share of a group's values that a percentile's rank may be off, as checked over whole tables.
+BOUND = 0.004
 PERCENTS = (1, 5, 25, 50, 75, 95, 99)
 METRICS = ("width", "height", "sharpness")
 
 
 def files_once(index: DataFrame, *columns: str) -> DataFrame:
     """One row per file; rows of a file delivered twice are equal in the columns used here."""
-    return index.select("file_id", *columns).dropDuplicates(["file_id"])
+    return index.select("file_id", *columns).distinct()
 
 
 def sketches(rows: DataFrame, keys: list[str], metrics: tuple[str, ...] = METRICS, k: int = K) -> DataFrame:
@@ -42,3 +48,40 @@ def percentiles(groups: DataFrame, keys: list[str], metrics: tuple[str, ...] = M
     one = lambda m: F.struct(F.lit(m).alias("metric"), F.col(f"n_{m}").alias("n"), F.when(F.col(f"n_{m}") > 0, F.kll_sketch_get_quantile_double(F.col(m), at)).alias("q"))
     rows = groups.select(*keys, F.explode(F.array(*[one(m) for m in metrics])).alias("x"))
     return rows.select(*keys, "x.metric", "x.n", *[F.col("x.q")[i].alias(f"p{p}") for i, p in enumerate(PERCENTS)])
+
+
+STORED = T.StructType([T.StructField(n, t) for n, t in [("key", T.StringType()), ("version", T.StringType()), ("label", T.StringType()), ("day", T.StringType()), *[x for m in METRICS for x in ((f"n_{m}", T.LongType()), (m, T.BinaryType()))]]])
+
+
+def store(target: Target, days: DataFrame, version: str) -> int:
+    """Keeps the sketches of days (label, day, and what :func:`sketches` gives) in a table, to be combined later without their values. A label's day that
+    is stored again, say with values that came late, takes the place of what was stored. Returns the number of the table's new version."""
+    rows = days.withColumns({"key": F.to_json(F.struct("label", "day")), "version": F.lit(version)})
+    return target.publish(rows.select(*STORED.names), target.version(), STORED)
+
+
+def combined(target: Target, keys: list[str], first: str | None = None, last: str | None = None) -> DataFrame:
+    """The sketches of the stored days from ``first`` to ``last``, merged by ``keys`` (label, day, both or none). Values without a day only count
+    where no bound is given."""
+    rows = target.read(STORED)
+    if first is not None:
+        rows = rows.where(F.col("day") >= first)
+    if last is not None:
+        rows = rows.where(F.col("day") <= last)
+    return merged(rows, keys)
+
+
+def rank_errors(rows: DataFrame, groups: DataFrame, key: str, metrics: tuple[str, ...] = METRICS) -> DataFrame:
+    """key, metric, n, error: by how much of the group's values the rank of a percentile is off, at most over all percentiles; 0 without values. ``rows``
+    has the values of the ``groups`` of sketches. A percentile with equal values beside it is right if its rank lies among theirs."""
+    at = F.array(*[F.lit(p / 100) for p in PERCENTS])
+    group = F.coalesce(F.concat(F.lit("="), F.col(key)), F.lit(""))  # null is a group, too
+    q = groups.select(group.alias("_g"), *[F.when(F.col(f"n_{m}") > 0, F.kll_sketch_get_quantile_double(F.col(m), at)).alias(f"_q_{m}") for m in metrics])
+    values = rows.select(key, group.alias("_g"), *[F.when((F.col(m) > 0) & ~F.isnan(F.col(m).cast("double")), F.col(m).cast("double")).alias(m) for m in metrics])
+    hot = hot_keys(values.groupBy("_g").agg(F.count(F.lit(1)).alias("n")), "_g")
+    x = join_skewed(values, q, "_g", hot, "inner")
+    ranks = [a for m in metrics for i in range(len(PERCENTS)) for a in (F.count_if(F.col(m) < F.col(f"_q_{m}")[i]).alias(f"lo_{m}_{i}"), F.count_if(F.col(m) <= F.col(f"_q_{m}")[i]).alias(f"hi_{m}_{i}"))]
+    x = x.groupBy(key).agg(*[F.count(m).alias(f"n_{m}") for m in metrics], *ranks)
+    off = lambda m: F.greatest(F.lit(0.0), *[e for i, p in enumerate(PERCENTS) for e in (F.col(f"lo_{m}_{i}") / F.col(f"n_{m}") - p / 100, p / 100 - F.col(f"hi_{m}_{i}") / F.col(f"n_{m}"))])
+    each = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"n_{m}").alias("n"), F.when(F.col(f"n_{m}") > 0, off(m)).otherwise(0.0).alias("error")) for m in metrics])
+    return x.select(key, F.explode(each).alias("x")).select(key, "x.*")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vocabulary import split_of
-from ..storage import table
+from ..storage import cut, table
 from . import grouped_split, hamming_overlap, leakage, paragraphs, quantiles, shared_spans, suffixes, tokens
 from .components import components
 
@@ -68,9 +68,12 @@ def p4_sizes(spark: SparkSession, d: str) -> DataFrame:
 # 5: percentiles per label and day
 
 
+def _measured(spark: SparkSession, d: str) -> DataFrame:
+    return quantiles.files_once(table(spark, d, "dataset_index"), "label", "scanned_at", *quantiles.METRICS)
+
+
 def _sketches(spark: SparkSession, d: str) -> DataFrame:
-    files = quantiles.files_once(table(spark, d, "dataset_index"), "label", "scanned_at", *quantiles.METRICS)
-    return quantiles.sketches(files.withColumn("day", F.date_format("scanned_at", "yyyy-MM-dd")), ["label", "day"])
+    return quantiles.sketches(_measured(spark, d).withColumn("day", F.date_format("scanned_at", "yyyy-MM-dd")), ["label", "day"])
 
 
 def p5_day_percentiles(spark: SparkSession, d: str) -> DataFrame:
@@ -82,6 +85,13 @@ def p5_label_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return quantiles.percentiles(quantiles.merged(_sketches(spark, d), ["label"]), ["label"])
 
 
+def p5_rank_errors(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each label's percentiles, made from the days' sketches alone, are within the bound of their exact ranks in the whole table."""
+    labels = cut(quantiles.merged(_sketches(spark, d), ["label"]))
+    errors = quantiles.rank_errors(_measured(spark, d), labels, "label")
+    return errors.select("label", "metric", "n", (F.col("error") <= quantiles.BOUND).alias("within"))
+
+
 # 7: token ids
 
 
@@ -142,6 +152,7 @@ QUERIES = {
     "p4_sizes": p4_sizes,
     "p5_day_percentiles": p5_day_percentiles,
     "p5_label_percentiles": p5_label_percentiles,
+    "p5_rank_errors": p5_rank_errors,
     "p7_ids": p7_ids,
     "p8_found": p8_found,
     "p8_near": p8_near,
@@ -217,3 +228,8 @@ SQL |= {
     "p5_day_percentiles": _PERCENTILES.format("label, day", "g.label, g.day", "g.label IS NOT DISTINCT FROM q.label AND g.day IS NOT DISTINCT FROM q.day"),
     "p5_label_percentiles": _PERCENTILES.format("label", "g.label", "g.label IS NOT DISTINCT FROM q.label"),
 }
+SQL["p5_rank_errors"] = """
+WITH f AS (SELECT DISTINCT file_id, label, width, height, sharpness FROM dataset_index)
+SELECT label, metric, count(*) FILTER (x > 0 AND NOT isnan(x)) AS n, true AS within
+FROM (SELECT label, unnest([{'metric': 'width', 'x': width::DOUBLE}, {'metric': 'height', 'x': height::DOUBLE}, {'metric': 'sharpness', 'x': sharpness}], recursive := true) FROM f) GROUP BY label, metric
+"""

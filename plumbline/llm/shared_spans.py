@@ -1,10 +1,13 @@
 """Spans of at least a given length that stand verbatim in more than one document.
 
-Every stretch of ``least`` characters holds ``least - GRAM + 1`` grams; the smallest of their hashes is its anchor, the same
-wherever the stretch stands. Only anchors, about one gram in fifty, are compared across all documents. A stretch is a
-candidate if its anchor is in another document too; candidates are then compared by two 64-bit hashes of all their
-characters. Both comparisons are aggregates per hash that keep the smallest and the largest document, so a passage that a
-third of all documents hold costs no more than any other, and no pairs are ever formed.
+Every stretch of ``least`` characters holds ``least - gram + 1`` grams; the smallest of their hashes is its anchor, the same
+wherever the stretch stands. Neighbouring stretches mostly have the same anchor, so there are few anchors, about one in a hundred characters, and
+only they are compared across all documents, by an aggregate per anchor that keeps the smallest and the largest text.
+
+Where an anchor is in several texts, the pieces of text whose stretches have it meet in one task; the task hashes all stretches of the pieces (twice 64 bits) and
+gives back intervals of those that stand in several documents. An anchor of more pieces than a task should hold is treated apart: its stretches are
+compared one by one, by aggregates per hash, so that a passage that a third of all documents hold is no larger than any other. No pairs
+are ever formed.
 """
 
 from __future__ import annotations
@@ -18,10 +21,12 @@ from pyspark.sql import functions as F
 
 from ..operators.skew import hot_keys, join_skewed
 from ..storage import cut
-from .batches import texts
+from .batches import parts, texts
 
 LEAST = 300
-GRAM = 200
+GRAM = 100
+#: Pieces of text in one partition, about; anchors of more are treated by aggregates. Stretches of one piece, at most.
+PIECES, LONGEST = 20_000, 2_000
 #: Characters handled at once in a task, unless one text has more.
 CHARS = 500_000
 _SEEDS = ((0x9E3779B97F4A7C15, 0xD1342543DE82EF95), (0xC2B2AE3D27D4EB4F, 0xAEF17502108EF2D9))
@@ -103,64 +108,142 @@ def _anchored(characters: np.ndarray, bounds: np.ndarray, least: int, gram: int)
 
 
 def _anchors(least: int, gram: int):
+    """The anchors of each text, once each, under the number of its class."""
+
     def run(batches):
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            classes = batch.column(0).to_numpy(zero_copy_only=False)
             for rows, characters, bounds in _pieces(batch, "text"):
                 at, anchor = _anchored(characters, bounds, least, gram)
                 if not len(at):
                     continue
                 row = np.searchsorted(bounds, at, "right") - 1
-                new = np.ones(len(at), bool)  # neighbours mostly have the same anchor
-                new[1:] = (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])
-                yield pa.RecordBatch.from_arrays([pa.array(ids[rows][row[new]]), pa.array(anchor[new].view(np.int64))], ["doc_id", "anchor"])
+                new = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])])  # neighbours mostly have the same anchor
+                row, anchor = row[new], anchor[new]
+                order = np.lexsort((anchor, row))
+                row, anchor = row[order], anchor[order]
+                once = np.r_[True, (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])]
+                yield pa.RecordBatch.from_arrays([pa.array(classes[rows][row[once]]), pa.array(anchor[once].view(np.int64))], ["class", "anchor"])
 
     return run
 
 
-def _candidates(least: int, gram: int):
+def _with_anchor(batch: pa.RecordBatch, name: str, least: int, gram: int):
+    """Runs of rows as of :func:`_pieces`, and the places and anchors of their stretches whose anchor is listed in the column ``name`` of the row,
+    or of a row beside it, which costs a comparison more."""
+    lists = batch.column(batch.schema.get_field_index(name))
+    for rows, characters, bounds in _pieces(batch, "text"):
+        own = lists.slice(rows.start, rows.stop - rows.start).flatten().to_numpy(zero_copy_only=False)
+        if len(own):
+            at, anchor = _anchored(characters, bounds, least, gram)
+            keep = np.isin(anchor, own.astype(np.int64).view(np.uint64))
+            if keep.any():
+                yield rows, characters, bounds, at[keep], anchor[keep]
+
+
+def _cut_out(least: int, gram: int):
+    """The pieces of the texts whose stretches have one of the listed anchors: anchor, doc_id, at and the piece."""
+
     def run(batches):
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            shared = batch.column(2)
-            for rows, characters, bounds in _pieces(batch, "text"):
-                at, anchor = _anchored(characters, bounds, least, gram)
+            for rows, characters, bounds, at, anchor in _with_anchor(batch, "anchors", least, gram):
                 row = np.searchsorted(bounds, at, "right") - 1
-                own = shared.slice(rows.start, rows.stop - rows.start)
-                # An anchor only counts for the row it was listed for; one listed for another costs a comparison more.
-                keep = np.isin(anchor, own.flatten().to_numpy(zero_copy_only=False).view(np.uint64))
-                at, row = at[keep], row[keep]
-                if len(at):
-                    h = [Rolling(characters, k).of(at, least).view(np.int64) for k in (0, 1)]
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[rows][row]), pa.array((at - bounds[row]).astype(np.int32)), *map(pa.array, h)], ["doc_id", "at", "h", "h2"])
+                new = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1]) | (at[1:] != at[:-1] + 1)])
+                sizes = np.diff(np.r_[new, len(at)])
+                more = -(-sizes // LONGEST)  # long runs, as of a character repeated, are divided
+                k = np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more)
+                first = np.repeat(new, more) + k * LONGEST
+                last = np.minimum(first + LONGEST, np.repeat(new + sizes, more)) - 1
+                raw = characters.tobytes()
+                pieces = [raw[4 * a : 4 * (b + least)].decode("utf-32-le") for a, b in zip(at[first].tolist(), at[last].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(anchor[first].view(np.int64)), pa.array(ids[rows][row[first]]), pa.array(at[first] - bounds[row[first]]), pa.array(pieces)], ["anchor", "doc_id", "at", "piece"])
 
     return run
 
 
-def _spans(least: int):
+def _several(h: np.ndarray, h2: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Whether each pair of hashes stands in more than one document."""
+    order = np.argsort(h, kind="stable")
+    same = h[order][1:] == h[order][:-1]
+    if (same & (h2[order][1:] != h2[order][:-1])).any():
+        order = np.lexsort((h2, h))
+    new = np.flatnonzero(np.r_[True, (h[order][1:] != h[order][:-1]) | (h2[order][1:] != h2[order][:-1])])
+    among = doc[order]
+    more = np.minimum.reduceat(among, new) < np.maximum.reduceat(among, new)
+    out = np.empty(len(h), bool)
+    out[order] = np.repeat(more, np.diff(np.r_[new, len(h)]))
+    return out
+
+
+def _intervals(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The union of the intervals of each document, as few as possible; those that touch are one."""
+    order = np.lexsort((start, doc))
+    doc, start, end = doc[order], start[order], end[order]
+    number = np.cumsum(np.r_[0, doc[1:] != doc[:-1]]) * (int(end.max()) + 1)  # so that ends of an earlier document lie below
+    reach = np.maximum.accumulate(number + end)
+    new = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (number[1:] + start[1:] > reach[:-1])])
+    last = np.r_[new[1:], len(doc)] - 1
+    return doc[new], start[new], (reach - number)[last]
+
+
+SPANS = "doc_id long, span_start long, span_end long"
+
+
+def _spans_of(doc, start, end) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in _intervals(doc, start, end)], ["doc_id", "span_start", "span_end"])
+
+
+def _compared(least: int):
+    """Intervals of the stretches of the pieces of one partition that stand in several documents."""
+
+    def run(batches):
+        found = []
+        for batch in batches:
+            ids, places = batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False)
+            for rows, characters, bounds in _pieces(batch, "piece"):
+                at = np.flatnonzero(_stretches(bounds, least))
+                row = np.searchsorted(bounds, at, "right") - 1
+                h, h2 = (Rolling(characters, k).of(at, least) for k in (0, 1))
+                found.append((h, h2, ids[rows][row], places[rows][row] + at - bounds[row]))
+        if found:
+            h, h2, doc, at = (np.concatenate(x) for x in zip(*found))
+            more = _several(h, h2, doc)
+            if more.any():
+                yield _spans_of(doc[more], at[more], at[more] + least)
+
+    return run
+
+
+def _hashed(least: int, gram: int):
+    """doc_id, at and the hashes of the stretches with an anchor listed in ``often``."""
+
     def run(batches):
         for batch in batches:
-            ids, lists = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
-            at = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            sizes = np.diff(lists.offsets.to_numpy())
-            row = np.repeat(np.arange(len(ids)), sizes)
-            order = np.lexsort((at, row))
-            at, row = at[order], row[order]
-            if not len(at):
-                continue
-            new = np.ones(len(at), bool)
-            new[1:] = (row[1:] != row[:-1]) | (at[1:] > at[:-1] + least)
-            first = np.flatnonzero(new)
-            last = np.append(first[1:], len(at)) - 1
-            yield pa.RecordBatch.from_arrays([pa.array(ids[row[first]]), pa.array(at[first]), pa.array(at[last] + least)], ["doc_id", "span_start", "span_end"])
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for rows, characters, bounds, at, _ in _with_anchor(batch, "often", least, gram):
+                row = np.searchsorted(bounds, at, "right") - 1
+                h = [Rolling(characters, k).of(at, least).view(np.int64) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[rows][row]), pa.array(at - bounds[row]), *map(pa.array, h)], ["doc_id", "at", "h", "h2"])
 
     return run
 
 
-def _elsewhere(rows: DataFrame, key: str, *also: str) -> DataFrame:
-    """The rows whose key stands in more than one document."""
-    counts = cut(rows.groupBy(key, *also).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select(key, *also, "n"))
-    return join_skewed(rows, counts.drop("n"), key, hot_keys(counts.groupBy(key).agg(F.sum("n").alias("n")), key), "left_semi", also)
+def _merged(batches):
+    """The intervals of whole documents, merged."""
+    for batch in batches:
+        lists = batch.column(1)
+        if batch.num_rows:
+            doc = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy()))
+            start, end = (lists.flatten().field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            yield _spans_of(doc, start, end)
+
+
+def _elsewhere(rows: DataFrame) -> DataFrame:
+    """The stretches that stand in more than one document."""
+    keys = ["h", "h2"]
+    counts = cut(rows.groupBy(*keys).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select(*keys, "n"))
+    return join_skewed(rows, counts.drop("n"), "h", hot_keys(counts.groupBy("h").agg(F.sum("n").alias("n")), "h"), "left_semi", ("h2",))
 
 
 def shared_spans(documents: DataFrame, least: int = LEAST, gram: int | None = None) -> DataFrame:
@@ -168,23 +251,34 @@ def shared_spans(documents: DataFrame, least: int = LEAST, gram: int | None = No
     which stand exactly so in the text of another doc_id. Positions are code points from 0, the end is exclusive.
 
     ``documents`` has doc_id (unique) and text. Null, empty and shorter texts have no spans; of copies of a long enough text every
-    one is a span from end to end. Texts are taken whole, whatever their length. Equality of stretches is that of two 64-bit hashes.
-    Empty tables give an empty result.
+    one is a span from end to end. Texts are taken whole, whatever their length. Equality of stretches, and of whole texts, is that of two 64-bit
+    hashes. Empty tables give an empty result.
     """
     gram = gram or max(1, GRAM * least // LEAST)
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.length("text") >= least)
-    # Copies are settled by their text's hash; one of each goes on for what others share with it.
-    keys = cut(docs.select("doc_id", F.sha2("text", 256).alias("sha"), F.length("text").cast("long").alias("size")))
-    classes = cut(keys.groupBy("sha").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")))
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.length("text") >= least).withColumn("class", F.xxhash64("text"))
+    # Copies are a class; the first of each goes on for what others share with it.
+    keys = cut(docs.select("doc_id", "class", F.xxhash64(F.lit(1), "text").alias("second"), F.length("text").cast("long").alias("size")))
+    classes = cut(keys.groupBy("class", "second").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")))
     repeated = classes.where("n > 1")
-    copies = join_skewed(keys, repeated.select("sha"), "sha", hot_keys(repeated.select("sha", "n"), "sha"), "left_semi")
+    hot = hot_keys(repeated.groupBy("class").agg(F.sum("n").alias("n")), "class")
+    copies = join_skewed(keys, repeated.select("class", "second"), "class", hot, "left_semi", ("second",))
     copies = copies.select("doc_id", F.lit(0).cast("long").alias("span_start"), F.col("size").alias("span_end"))
-    first = classes.select(F.col("first").alias("doc_id"), (F.col("n") > 1).alias("copied"))
-
-    anchors = docs.mapInArrow(_anchors(least, gram), "doc_id long, anchor long").distinct()
-    anchors = cut(anchors.join(first.select("doc_id"), "doc_id", "left_semi"))
-    listed = _elsewhere(anchors, "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))
-    stretches = docs.join(listed, "doc_id").select("doc_id", "text", "anchors").mapInArrow(_candidates(least, gram), "doc_id long, at int, h long, h2 long")
-    shared = _elsewhere(cut(stretches), "h", "h2").groupBy("doc_id").agg(F.collect_list("at").alias("places"))
-    spans = shared.join(first.where(~F.col("copied")).select("doc_id"), "doc_id", "left_semi").mapInArrow(_spans(least), "doc_id long, span_start long, span_end long")
-    return spans.unionByName(copies)
+
+    anchors = cut(docs.select("class", "text").mapInArrow(_anchors(least, gram), "class long, anchor long"))
+    shared = anchors.groupBy("anchor").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi")
+    shared = cut(shared.select("anchor", "n", (F.col("n") > PIECES).alias("often")))
+    some, often = shared.agg(F.sum(F.when(~F.col("often"), F.col("n"))), F.bool_or("often")).first()
+    listed = join_skewed(anchors, shared.select("anchor", "often"), "anchor", hot_keys(shared.select("anchor", "n"), "anchor"), "inner")
+    listed = listed.groupBy("class").agg(F.collect_set(F.when(~F.col("often"), F.col("anchor"))).alias("anchors"), F.collect_set(F.when(F.col("often"), F.col("anchor"))).alias("often"))
+    listed = listed.join(classes.select("class", F.col("first").alias("doc_id"), (F.col("n") > 1).alias("copied")), "class").select("doc_id", "copied", "anchors", "often")
+    listed = cut(listed)
+    texts = docs.select("doc_id", "text").join(listed.drop("copied"), "doc_id").select("doc_id", "text", "anchors", "often")
+    pieces = texts.mapInArrow(_cut_out(least, gram), "anchor long, doc_id long, at long, piece string")
+    least_parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = pieces.repartition(parts(some or 0, PIECES, least_parts), "anchor").mapInArrow(_compared(least), SPANS)
+    if often:
+        stretches = cut(texts.where(F.size("often") > 0).mapInArrow(_hashed(least, gram), "doc_id long, at long, h long, h2 long"))
+        found = found.unionByName(_elsewhere(stretches).select("doc_id", F.col("at").alias("span_start"), (F.col("at") + least).alias("span_end")))
+    whole = found.groupBy("doc_id").agg(F.collect_list(F.struct("span_start", "span_end")).alias("spans"))
+    whole = whole.join(listed.where("copied").select("doc_id"), "doc_id", "left_anti")
+    return whole.mapInArrow(_merged, SPANS).unionByName(copies)

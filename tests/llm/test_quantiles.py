@@ -2,7 +2,10 @@ import math
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from plumbline.llm import quantiles as q
+from plumbline.operators.incremental import Target
 
 SCHEMA = "file_id long, label string, day int, width int, height int, sharpness double, n_width int"
 
@@ -32,3 +35,28 @@ def test_small_groups_are_exact_and_empty_ones_null(spark):
     assert [got["a", "width"][f"p{p}"] for p in q.PERCENTS] == [1, 5, 25, 50, 75, 95, 99]
     assert got["b", "width"].n == 0 and got["b", "width"].p50 is None and got["a", "height"].n == 0
     assert q.percentiles(q.sketches(df.limit(0), ["label"]), ["label"]).count() == 0
+
+
+def test_stored_days_are_combined_later(spark, tmp_path):
+    """A day stored again replaces what was stored; merged days are as exact as one sketch of everything."""
+    target = Target(spark, f"file://{tmp_path}/days")
+    values = {day: [(label, day, (k * 37) % 101 + 1, k + 1, float(k)) for label in ("a", None) for k in range(n)] for day, n in (("2026-01-01", 150), ("2026-01-02", 90), (None, 20))}
+    df = lambda rows: spark.createDataFrame(rows, "label string, day string, width int, height int, sharpness double")
+    of = lambda rows: q.sketches(df(rows), ["label", "day"])
+    assert q.store(target, of(values["2026-01-01"][:40]), "run1") == 1
+    assert q.store(target, of(values["2026-01-02"] + values[None]), "run2") == 2
+    assert q.store(target, of(values["2026-01-01"]), "run3") == 3
+    everything = [x for rows in values.values() for x in rows]
+    got = {tuple(r) for r in q.percentiles(q.combined(target, ["label"]), ["label"]).collect()}
+    assert got == {tuple(r) for r in q.percentiles(q.sketches(df(everything), ["label"]), ["label"]).collect()} and len(got) == 6
+    one = q.percentiles(q.combined(target, ["label"], "2026-01-02", "2026-01-02"), ["label"])
+    assert {r.n for r in one.where("metric = 'width'").collect()} == {90}
+
+
+def test_rank_errors(spark):
+    rows = spark.createDataFrame([("a" if k % 3 else None, k + 1, (k * 7919) % 30_000 + 1, float(k % 5)) for k in range(30_000)] + [("empty", None, 0, float("nan"))], "label string, width int, height int, sharpness double")
+    got = {(r.label, r.metric): (r.n, r.error) for r in q.rank_errors(rows, q.sketches(rows, ["label"]), "label").collect()}
+    assert len(got) == 9 and got["empty", "width"] == (0, 0.0) and got["a", "width"][0] == 20_000
+    assert all(e <= q.BOUND for _, e in got.values()) and any(e > 0 for _, e in got.values())
+    wrong = q.sketches(rows.withColumn("width", F.col("width") + 600), ["label"])
+    assert {r.error > 0.01 for r in q.rank_errors(rows, wrong, "label").where("metric = 'width' AND n > 0").collect()} == {True}

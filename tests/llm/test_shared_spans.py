@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from plumbline.llm import shared_spans as module
 from plumbline.llm.shared_spans import shared_spans, sliding_min
 
 
@@ -22,8 +23,12 @@ def brute(docs, least):
     return out
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_equals_brute_force(spark, seed):
+@pytest.mark.parametrize("seed,pieces,longest", [(0, 20_000, 2_000), (1, 20_000, 4), (2, 20_000, 2_000), (3, 6, 5), (4, 0, 2_000)])
+def test_equals_brute_force(spark, monkeypatch, seed, pieces, longest):
+    """Also with anchors of more pieces than a task should hold."""
+    monkeypatch.setattr(module, "PIECES", pieces)
+    monkeypatch.setattr(module, "LONGEST", longest)
+    monkeypatch.setattr(module, "parts", lambda rows, each, least: max(least, min(50, rows // max(each, 1))))
     rnd = random.Random(seed)
     parts = ["".join(rnd.choice("abé😀 ") for _ in range(rnd.randrange(5, 40))) for _ in range(12)]
     docs = [(k, "".join(rnd.choice(parts) if rnd.random() < 0.4 else "".join(rnd.choice("abcdefé") for _ in range(rnd.randrange(20))) for _ in range(rnd.randrange(6)))) for k in range(150)]
@@ -49,6 +54,19 @@ def test_a_third_are_copies_and_one_text_is_long(spark):
     assert got == {(k, 0, 700) for k in range(100)} | {(500, 900_000, 900_350)}
 
 
+def test_intervals():
+    rnd = random.Random(5)
+    for _ in range(100):
+        x = [(rnd.randrange(3), a := rnd.randrange(30), a + rnd.randrange(1, 6)) for _ in range(rnd.randrange(1, 12))]
+        got = list(zip(*(c.tolist() for c in module._intervals(*map(np.array, zip(*x))))))
+        want = []
+        for d in range(3):
+            inside = {p for e, a, b in x if e == d for p in range(a, b)}
+            starts = sorted(p for p in inside if p - 1 not in inside)
+            want += [(d, a, next(b for b in range(a, 99) if b not in inside)) for a in starts]
+        assert got == want
+
+
 def test_sliding_min():
     a = np.random.default_rng(1).integers(0, 99, 57).astype(np.uint64)
     for w in (1, 2, 7, 57, 58):
