@@ -2,26 +2,25 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
-from functools import reduce
 
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import CountVectorizer, IDF, Normalizer, StandardScaler, StringIndexer, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import cut
+from . import learners
 from .relational import counts
 from .splitting import stem
-from .statistics import rank_sums_of
 
 #: Classes with fewer rows are left out.
 LEAST = 5
-#: Rows of a probe in one partition, about.
-ROWS = 4000
+FOLDS = 5
+#: Rows of a probe, about, whatever the number of classes.
+SAMPLE = 20_000
+#: How many times the rows wanted of a class are sorted to find those with the smallest hashes.
+SPARE = 4
 
 
 @dataclass(frozen=True)
@@ -33,58 +32,77 @@ class ProbeResult:
 
 
 def subsample(df: DataFrame, label: str, most: int, seed: int, *key: str, least: int = LEAST) -> DataFrame:
-    """At most ``most`` rows per class, chosen by a hash of the key, without classes under ``least`` rows. ``place`` is the row's place in its
-    class."""
+    """At most ``most`` rows per class, those with the smallest hashes of the key, without classes under ``least`` rows. ``place`` is the row's
+    place in its class. Of a class with many more rows only those with small hashes are sorted, in expectation ``SPARE`` times as many as are
+    kept."""
     order = [F.xxhash64(F.lit(seed), *key), *map(F.col, key)]
     df = df.where(F.col(label).isNotNull())
-    enough = counts(df, label, name="_n").where(F.col("_n") >= least).select(label)
-    df = df.join(enough, label, "left_semi")
-    return df.withColumn("place", F.row_number().over(Window.partitionBy(label).orderBy(*order))).where(F.col("place") <= most)
-
-
-def probe(df: DataFrame, key: str, label: str, stages: list, seed: int = 42, most: int = 2000) -> ProbeResult | None:
-    """Five-fold cross-validation of a pipeline whose last stage predicts ``y`` with a ``probability``. The result has the area under the
-    curve (of the second class, or the mean over one class against the rest) and the mean recall of the classes, both out of fold.
-    Null with fewer than two classes of at least five rows. Bounded: at most ``most`` rows of each class are used."""
-    rows = cut(subsample(df, label, most, seed, key))
-    names = [r[0] for r in rows.select(label).distinct().orderBy(label).collect()]
-    if len(names) < 2:
-        return None
-    rows = StringIndexer(inputCol=label, outputCol="y", stringOrderType="alphabetAsc").fit(rows).transform(rows)
-    few = max(1, min(len(names) * most // ROWS, rows.rdd.getNumPartitions()))
-    rows = rows.withColumn("fold", F.pmod("place", F.lit(5))).coalesce(few).cache()
-
-    def predicted(fold: int) -> DataFrame:
-        model = Pipeline(stages=[s.copy() for s in stages]).fit(rows.where(F.col("fold") != fold))
-        return model.transform(rows.where(F.col("fold") == fold)).select("y", "prediction", vector_to_array("probability").alias("p"))
-
-    rows.count()
-    with ThreadPoolExecutor(5) as pool:  # a fold's many small jobs wait more than they work
-        out = cut(reduce(DataFrame.unionByName, pool.map(predicted, range(5))))
-    rows.unpersist()
-    scores = out.select("y", F.posexplode("p").alias("k", "value"))
-    if len(names) == 2:
-        scores = scores.where("k = 1")
-    scores = scores.select(F.col("k").cast("string").alias("feature"), "value", (F.col("y") == F.col("k")).cast("string").alias("own"))
-    s = rank_sums_of(scores, "own").where("own = 'true' AND n < total")
-    auc = s.agg(F.avg((F.col("ranks") - F.col("n") * (F.col("n") + 1) / 2) / (F.col("n") * (F.col("total") - F.col("n"))))).first()[0]
-    recall = out.groupBy("y").agg(F.avg((F.col("y") == F.col("prediction")).cast("double")).alias("r")).agg(F.avg("r"), F.count(F.lit(1))).first()
-    return ProbeResult(float(auc), float(recall[0]), out.count(), len(names))
+    enough = counts(df, label, name="_n").where(F.col("_n") >= least)
+    df = df.join(enough, label)
+    low = F.shiftrightunsigned(order[0], 1) / F.lit(float(2**63)) <= F.lit(float(SPARE * most)) / F.col("_n")
+    return df.where(low).withColumn("place", F.row_number().over(Window.partitionBy(label).orderBy(F.shiftrightunsigned(order[0], 1), *order[1:]))).where(F.col("place") <= most).drop("_n")
+
+
+def _fold(fit):
+    """The predictions for one fold of the model fitted on the others; a partition holds the sample of one run."""
+
+    def run(batches):
+        t = pa.Table.from_batches(list(batches))
+        if not t.num_rows:
+            return
+        t = t.take(pc.sort_indices(t, [("label", "ascending"), ("place", "ascending")]))  # whatever order the rows came in
+        names, y = np.unique(np.array(t.column("label").to_pylist(), object).astype(str), return_inverse=True)
+        if len(names) < 2:
+            return
+        held = t.column("place").to_numpy() % FOLDS == t.column("run")[0].as_py()
+        x = t.column("x").combine_chunks().to_pylist()
+        p = fit([v for v, h in zip(x, held) if not h], y[~held], len(names), [v for v, h in zip(x, held) if h])
+        yield pa.RecordBatch.from_arrays([pa.array(y[held], pa.int32()), pa.array(list(p), pa.list_(pa.float64()))], ["y", "p"])
+
+    return run
+
+
+def _scores(batches):
+    batches = [b for b in batches if b.num_rows]
+    if batches:
+        t = pa.Table.from_batches(batches)
+        y, p = t.column("y").to_numpy(), np.stack(t.column("p").to_numpy())
+        k = p.shape[1]
+        auc = learners.area(p[:, 1], y == 1) if k == 2 else float(np.mean([learners.area(p[:, c], y == c) for c in range(k)]))
+        recall = float(np.mean([(p[y == c].argmax(1) == c).mean() for c in range(k)]))
+        yield pa.RecordBatch.from_arrays([pa.array([auc]), pa.array([recall]), pa.array([len(y)]), pa.array([k], pa.int32())], ["auc", "balanced_accuracy", "n", "classes"])
+
+
+def probe(df: DataFrame, key: str, label: str, x: Column, fit, seed: int = 42, most: int = 2000) -> ProbeResult | None:
+    """Five-fold cross-validation in one job: the five models are fitted at once, each in a task that holds the sample. ``fit`` takes the values of ``x`` and the
+    numbers of the classes of some rows, the number of classes, and values of other rows, and returns their probabilities. The result has
+    the area under the curve (of the second class, or the mean over one class against the rest) and the mean recall of the classes, both out
+    of fold. Null with fewer than two classes of at least five rows. Bounded: at most ``most`` rows of each class, and about ``SAMPLE`` of
+    all, are used, or five of each where there are very many classes."""
+    rows = df.select(F.col(key).alias("key"), F.col(label).cast("string").alias("label"), x.alias("x")).where("x IS NOT NULL")
+    classes = rows.select("label").distinct().count()
+    rows = subsample(rows, "label", max(LEAST, min(most, SAMPLE // max(1, classes))), seed, "key")
+    runs = rows.select("label", "place", "x", F.explode(F.sequence(F.lit(0), F.lit(FOLDS - 1))).alias("run"))
+    predicted = runs.repartitionById(FOLDS, "run").mapInArrow(_fold(fit), "y int, p array<double>")
+    r = predicted.repartition(1).mapInArrow(_scores, "auc double, balanced_accuracy double, n long, classes int").first()
+    return ProbeResult(*r) if r else None
 
 
 def numeric_probe(df: DataFrame, key: str, label: str, features: dict[str, Column], seed: int = 42, most: int = 2000) -> ProbeResult | None:
-    """A forest over numeric features. A missing or NaN value becomes -1e9, so that a split can set it apart."""
-    cols = [F.coalesce(F.nanvl(c.cast("double"), F.lit(None).cast("double")), F.lit(-1e9)).alias(f"f{k}") for k, c in enumerate(features.values())]
-    rows = df.select(key, label, *cols)
-    stages = [VectorAssembler(inputCols=[f"f{k}" for k in range(len(cols))], outputCol="features"), RandomForestClassifier(labelCol="y", numTrees=40, maxDepth=6, seed=seed)]
-    return probe(rows, key, label, stages, seed, most)
+    """Boosted trees over numeric features; a missing or NaN value goes to the side that suits."""
+    x = F.array(*[F.coalesce(c.cast("double"), F.lit(float("nan"))) for c in features.values()])
+    fit = lambda a, y, k, b: learners.boosted(np.array(a, float), y, k, np.array(b, float), seed)
+    return probe(df, key, label, x, fit, seed, most)
 
 
 def vector_probe(df: DataFrame, key: str, label: str, vector: str, seed: int = 42, most: int = 2000) -> ProbeResult | None:
     """A scaled, regularised linear model over an array column; rows without an array are left out."""
-    rows = df.where(F.col(vector).isNotNull()).select(key, label, array_to_vector(F.transform(vector, lambda x: x.cast("double"))).alias("raw"))
-    stages = [StandardScaler(inputCol="raw", outputCol="features", withMean=True), LogisticRegression(labelCol="y", maxIter=50, regParam=0.01)]
-    return probe(rows, key, label, stages, seed, most)
+
+    def fit(a, y, k, b):
+        a, b = learners.scaled(np.array(a, float), np.array(b, float))
+        return learners.linear(a, y, k, b, 0.1)
+
+    return probe(df, key, label, F.col(vector).cast("array<double>"), fit, seed, most)
 
 
 def codes(c: Column, df: DataFrame, most: int = 250) -> tuple[DataFrame, Column]:
@@ -139,11 +157,5 @@ def char_grams(text: Column, low: int = 2, high: int = 4) -> Column:
 
 def filename_probe(df: DataFrame, key: str, label: str, path: str, tokens: list[str], seed: int = 42, most: int = 2000) -> ProbeResult | None:
     """A linear model over the weighted character runs of the file names without ``tokens``."""
-    rows = df.select(key, label, char_grams(without_tokens(F.col(path), tokens)).alias("grams"))
-    stages = [
-        CountVectorizer(inputCol="grams", outputCol="tf", vocabSize=3000),
-        IDF(inputCol="tf", outputCol="tfidf"),
-        Normalizer(inputCol="tfidf", outputCol="features"),
-        LogisticRegression(labelCol="y", maxIter=50, regParam=0.001),
-    ]
-    return probe(rows, key, label, stages, seed, most)
+    fit = lambda a, y, k, b: (lambda m: learners.linear(m[0], y, k, m[1], 1.0))(learners.weighted_runs(a, b))
+    return probe(df, key, label, char_grams(without_tokens(F.col(path), tokens)), fit, seed, most)

@@ -455,7 +455,7 @@ def _audited(spark: SparkSession, d: str, disabled: set[str]):
     df = cut(index_view(spark, d))
     counts = audits.class_counts(table(spark, d, "class_list", "label"), df)
     stray = spark.createDataFrame([], "relpath string, reason string")
-    return audit_index(Index(d, df, "table", stray, counts, True), config=Config(disabled=disabled), key="file_id")
+    return audit_index(Index(d, df, "table", stray, counts, True), config=Config({"checks": {"disable": disabled}}), key="file_id")
 
 
 #: Checks that train models.

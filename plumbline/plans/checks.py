@@ -8,27 +8,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import audits, probes, relational, splitting, statistics
+from ..sources.images import NO_DECODER
 from .findings import Finding, Severity, check
 
 PASS, INFO, WARN, BLOCKER = Severity
 
-DRIFT_FEATURES = ("width", "height", "bytes", "brightness", "contrast", "saturation", "sharpness", "entropy", "clipped_frac", "edge_density", "mean_r", "mean_g", "mean_b", "std_r", "std_g", "std_b", "jpeg_quality")
-CLASS_FEATURES = ("brightness", "contrast", "saturation", "sharpness", "entropy", "clipped_frac", "edge_density", "mean_r", "mean_g", "mean_b", "std_r", "std_g", "std_b", "width", "height", "bytes")
+_COLOURS = [f"{kind}_{channel}" for kind in ("mean", "std") for channel in "rgb"]
+_LOOKS = ["brightness", "contrast", "saturation", "sharpness", "entropy", "clipped_frac", "edge_density"]
+_SIZES = ["width", "height", "bytes"]
+#: Features that are compared between splits, and between classes.
+DRIFT_FEATURES, CLASS_FEATURES = [*_SIZES, *_LOOKS, *_COLOURS, "jpeg_quality"], [*_LOOKS, *_COLOURS, *_SIZES]
 
 
 def cell(value) -> str:
-    if isinstance(value, bool) or value is None:
-        return str(value)
-    if isinstance(value, int):
-        return f"{value:,}"
-    if isinstance(value, float):
-        return f"{value:,.3g}" if abs(value) < 1000 else f"{value:,.0f}"
-    return str(value).replace("|", "\\|")
+    """A value in a table: thousands set apart, fractions to three digits, bars escaped."""
+    match value:
+        case bool() | None:
+            return str(value)
+        case int():
+            return format(value, ",")
+        case float():
+            return format(value, ",.0f" if abs(value) >= 1000 else ",.3g")
+    return str(value).replace("|", r"\|")
 
 
 def md_table(head, rows) -> str:
-    line = lambda cells: "| " + " | ".join(cells) + " |"
-    return "\n".join([line(head), "|" + "---|" * len(head), *(line(map(cell, r)) for r in rows)])
+    """A Markdown table."""
+    body = [list(head), ["---"] * len(head), *([cell(v) for v in r] for r in rows)]
+    return "\n".join(f"| {' | '.join(line)} |" for line in body)
 
 
 def percent(part: float, whole: float) -> float:
@@ -57,14 +64,18 @@ def ordered_examples(ctx, df: DataFrame, by, note) -> list[str]:
 # Integrity
 
 
-@check("int.unreadable", "Files that can't be decoded", "any: BLOCKER", "integrity")
+@check("int.unreadable", "Files that can't be decoded", "any: BLOCKER; of a kind without a decoder here: INFO", "integrity")
 def unreadable(ctx):
-    bad = ctx.df.where(~F.col("readable"))
-    n = bad.count()
-    if not n:
-        return [(PASS, f"All {ctx.n:,} files decode")]
-    reasons = rows(audits.error_reasons(ctx.df), F.desc("n"), "reason")
-    return [(BLOCKER, f"{n:,} of {ctx.n:,} files can't be decoded", {"unreadable": n, "pct": percent(n, ctx.n)}, examples(ctx, bad, F.col("error")), "Export these files again or drop them; loaders fail on them or skip them silently.", md_table(["reason", "files"], reasons))]
+    unknown = F.coalesce(F.col("error").startswith(NO_DECODER), F.lit(False))
+    bad, undecoded = ctx.df.where(~F.col("readable") & ~unknown), ctx.df.where(~F.col("readable") & unknown)
+    n, left = ctx.df.agg(F.count_if(~F.col("readable") & ~unknown), F.count_if(~F.col("readable") & unknown)).first()
+    out = []
+    if n:
+        reasons = rows(audits.error_reasons(ctx.df.where(~unknown)), F.desc("n"), "reason")
+        out.append((BLOCKER, f"{n:,} of {ctx.n:,} files can't be decoded", {"unreadable": n, "pct": percent(n, ctx.n)}, examples(ctx, bad, F.col("error")), "Export these files again or drop them; loaders fail on them or skip them silently.", md_table(["reason", "files"], reasons)))
+    if left:
+        out.append((INFO, f"{left:,} whole files are of a kind that isn't decoded here; their pixels were not looked at", {"undecoded": left}, examples(ctx, undecoded, F.col("error")), "Check them with another decoder, or convert them."))
+    return out or [(PASS, f"All {ctx.n:,} files decode")]
 
 
 @check("int.format_mismatch", "Extensions that belie the content", "any: WARN", "integrity")

@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.pixels import resize
+from ..storage import literal, write_bytes
 
 #: Side of a tile, gap between tiles.
 TILE, GAP = 128, 4
@@ -26,7 +27,7 @@ def tiles(spark: SparkSession, paths: list[str]) -> list[np.ndarray | None]:
     if not paths:
         return []
     found = {}
-    for r in spark.read.format("image").load(sorted(set(paths))).select("image.*").collect():  # a few pictures
+    for r in spark.read.format("image").load(literal(sorted(set(paths)))).select("image.*").collect():  # a few pictures
         if r.width > 0:
             a = np.frombuffer(bytes(r.data), np.uint8).reshape(r.height, r.width, r.nChannels)
             rgb = np.repeat(a, 3, 2) if r.nChannels == 1 else a[:, :, 2::-1]
@@ -57,6 +58,5 @@ def save(spark: SparkSession, df: DataFrame, columns: list[str], path: str, most
     paths = [r[c] for r in df.orderBy(*columns).select(*columns).limit(most).collect() for c in columns]
     data = grid(tiles(spark, paths), across)
     if data:
-        with open(path, "wb") as f:
-            f.write(data)
+        write_bytes(spark, path, data)
     return bool(data)

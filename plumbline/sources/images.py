@@ -5,7 +5,6 @@ from __future__ import annotations
 import os
 import posixpath
 from dataclasses import dataclass, replace
-from urllib.parse import unquote
 
 import numpy as np
 import pandas as pd
@@ -18,16 +17,23 @@ from ..functions.vocabulary import IMAGE_EXTENSIONS, SPLITS, trimmed
 from ..operators.audits import ext_format
 from ..operators.incremental import Target, changed
 from ..operators.splitting import group_from_name
-from ..storage import _path, cut
+from ..storage import _path, cut, literal
 
 #: Bump when a feature changes, so that stored ones are computed anew.
-VERSION = "v2"
+VERSION = "v3"
 #: Listed files per piece written to the shared folder.
 PIECE = 500_000
 BASE = ("path", "relpath", "label", "split", "group", "domain")
 NUMBERS = ("mean_r", "mean_g", "mean_b", "std_r", "std_g", "std_b", "brightness", "contrast", "saturation", "sharpness", "entropy", "clipped_frac", "edge_density", "edge_density_target")
 META = "path string, bytes long, ext string, ext_format string, magic_format string, sha256 string, error string, width int, height int, n_frames int, mode string, format string, exif_orientation int, camera_model string, jpeg_quality double"
 PIXELS = "path string, decoded boolean, " + ", ".join(f"{n} double" for n in NUMBERS) + ", phash long, dhash long, thumb array<int>, border array<int>, edge_vector array<float>, trouble string"
+#: The features of pixels, which may also come from the bytes.
+_SEEN = [c.split()[0] for c in PIXELS.split(", ")[2:-1]]
+FROM_BYTES = META + ", deep boolean, " + ", ".join(f"deep_{c}" for c in PIXELS.split(", ")[2:-1])
+#: How the error of a whole file begins that nothing here can decode.
+NO_DECODER = "NoDecoder"
+#: Files read by their own paths, at most.
+PATHS = 100_000
 _FILES = "relpath string, bytes long, mtime_ns long"
 _DIRS = "reldir string, leaf boolean"
 
@@ -221,18 +227,35 @@ def _frame(rows: list[dict], names: list[str]) -> pd.DataFrame:
     return pd.DataFrame({n: pd.Series([r.get(n) for r in rows], dtype=object) for n in names})
 
 
+def _features(rgb: np.ndarray, target: int | None) -> dict:
+    return pixels.statistics(rgb, target) | pixels.signatures(rgb) | pixels.views(rgb) | {"edge_vector": pixels.edge_vector(rgb)}
+
+
 def _meta(batches):
-    names = [f.split()[0] for f in META.split(", ")]
-    for pdf in batches:
-        rows = []
-        for r in pdf.itertuples(index=False):
-            row = {n: getattr(r, n) for n in ("path", "bytes", "ext", "ext_format", "magic_format", "sha256")} | {"error": None}
-            try:
-                row |= image_bytes.describe(bytes(r.content))
-            except ValueError as x:
-                row["error"] = f"{'UnidentifiedImage' if 'identify' in str(x) else 'Decode'}Error: {x}"[:200]
-            rows.append(row)
-        yield _frame(rows, names)
+    """What the bytes tell, but for deep pictures; see :func:`_bytes`."""
+    yield from _bytes(None, deep=False)(batches)
+
+
+def _bytes(target: int | None, deep: bool = True):
+    """What the bytes tell. Pictures of more than 8 bits of grey, whose values other decoders cut off, get their features here."""
+    names = [f.split()[0] for f in (FROM_BYTES if deep else META).split(", ")]
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for r in pdf.itertuples(index=False):
+                row = {n: getattr(r, n) for n in ("path", "bytes", "ext", "ext_format", "magic_format", "sha256")} | {"error": None, "deep": False}
+                try:
+                    data = bytes(r.content)
+                    row |= image_bytes.describe(data)
+                    if deep and row["mode"] == "I;16" and (gray := image_bytes.deep_gray(data)) is not None:
+                        row |= {f"deep_{k}": v for k, v in _features(np.repeat(gray[:, :, None], 3, 2), target).items()} | {"deep": True}
+                except ValueError as x:
+                    row["error"] = f"{'UnidentifiedImage' if 'identify' in str(x) else 'Decode'}Error: {x}"[:200]
+                rows.append(row)
+            yield _frame(rows, names)
+
+    return run
 
 
 def _pixels(target: int | None):
@@ -246,8 +269,7 @@ def _pixels(target: int | None):
                 if row["decoded"]:
                     try:
                         a = np.frombuffer(bytes(r.data), np.uint8).reshape(r.height, r.width, r.nChannels)
-                        rgb = np.repeat(a, 3, 2) if r.nChannels == 1 else a[:, :, 2::-1]
-                        row |= pixels.statistics(rgb, target) | pixels.signatures(rgb) | pixels.views(rgb) | {"edge_vector": pixels.edge_vector(rgb)}
+                        row |= _features(np.repeat(a, 3, 2) if r.nChannels == 1 else a[:, :, 2::-1], target)
                     except (ValueError, MemoryError) as x:
                         row["trouble"] = f"decoded but could not process pixels: {type(x).__name__}: {x}"[:200]
                 rows.append(row)
@@ -261,36 +283,63 @@ def _plain(c):
     return F.regexp_replace(c, r"^file:(//(?=/))?", "")
 
 
+def _unescaped(c):
+    """A path from a URI, in which a plus is itself."""
+    return F.when(c.contains("%"), F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))).otherwise(c)
+
+
+def to_read(found: DataFrame) -> list[str]:
+    """What the sources are told to read for the files ``found``: up to ``PATHS`` files by their own paths. Of more, folders are read as a whole if at
+    least half of their images are wanted, and the other files by their paths, so at most twice as many files are read as are wanted."""
+    paths = [r.path for r in found.select("path").limit(PATHS + 1).collect()]
+    if len(paths) <= PATHS:
+        return paths
+    spark, folder = found.sparkSession, F.regexp_replace("path", r"/[^/]*$", "").alias("folder")
+    wanted = cut(found.select("path", folder))
+    n = cut(wanted.groupBy("folder").agg(F.count(F.lit(1)).alias("n")))
+    listed = _source(spark, "binaryFile", [r.folder for r in n.collect()]).select(_plain(F.col("path")).alias("path")).where(_is_image(F.col("path")))
+    whole = n.join(listed.groupBy(folder).agg(F.count(F.lit(1)).alias("images")), "folder").where("2 * n >= images").select("folder")
+    whole = cut(whole)
+    rest = wanted.join(whole, "folder", "left_anti").select("path")
+    return [r[0] for r in whole.union(rest).collect()]
+
+
+def _source(spark: SparkSession, kind: str, paths: list[str]) -> DataFrame:
+    return spark.read.format(kind).load(literal(paths))
+
+
 def extract(files: DataFrame, target: int | None = None) -> DataFrame:
-    """The features of ``files`` (path, bytes): META and PIXELS columns and readable, one row per file. Each file is read once for its bytes
-    and once by the image decoder; both passes end in small rows before anything is joined, so contents are never shuffled. Formats
-    without a decoder in the JVM (WebP) get what their header tells and count as unreadable."""
+    """The features of ``files`` (path, bytes): META and PIXELS columns and readable, one row per file. Only these files are read (see
+    :func:`to_read`), once for their bytes and once by the image decoder; both passes end in small rows before anything is joined, so contents
+    are never shuffled. Whole files of a kind without a decoder in the JVM (WebP, JPEG in four colours) get what their header tells; their error
+    begins with ``NO_DECODER``."""
     spark = files.sparkSession
-    found = files.where("bytes > 0")
-    folders = [r[0] for r in found.select(F.regexp_replace("path", r"/[^/]*$", "").alias("d")).distinct().collect()]
-    if folders:
-        raw = spark.read.format("binaryFile").load(folders).where(_is_image(F.col("path")))
-        ext = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
+    paths = to_read(files.where("bytes > 0"))
+    ext = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
+    if paths:
+        raw = _source(spark, "binaryFile", paths).where(_is_image(F.col("path")))
         raw = raw.select(_plain(F.col("path")).alias("path"), F.col("length").alias("bytes"), ext.alias("ext"), ext_format(ext).alias("ext_format"), image_bytes.magic_format(F.col("content")).alias("magic_format"), F.sha2("content", 256).alias("sha256"), "content")
-        meta = raw.mapInPandas(_meta, META)
-        decode_path = F.udf(unquote, "string")
-        image = spark.read.format("image").load(folders).select("image.*").where(_is_image(F.col("origin")))
+        meta = raw.mapInPandas(_bytes(target), FROM_BYTES)
+        image = _source(spark, "image", paths).select("image.*").where(_is_image(F.col("origin")))
         image = image.select(_plain(F.col("origin")).alias("path"), "width", "height", "nChannels", "data").mapInPandas(_pixels(target), PIXELS)
-        image = image.withColumn("path", F.when(F.col("path").contains("%"), decode_path("path")).otherwise(F.col("path")))
+        image = image.withColumn("path", _unescaped(F.col("path")))
     else:
-        meta, image = spark.createDataFrame([], META), spark.createDataFrame([], PIXELS)
+        meta, image = spark.createDataFrame([], FROM_BYTES), spark.createDataFrame([], PIXELS)
     out = files.select("path", F.col("bytes").alias("size")).join(meta, "path", "left").join(image, "path", "left")
+    deep = F.coalesce("deep", F.lit(False))
+    out = out.withColumns({c: F.when(deep, F.col(f"deep_{c}")).otherwise(F.col(c)) for c in _SEEN})
+    decoded = F.coalesce("decoded", F.lit(False)) | deep
     error = (
         F.when(F.col("size").isNull(), "file not found")
         .when(F.col("size") == 0, "zero-byte file")
         .when(F.col("error").isNotNull(), F.col("error"))
-        .when(~F.coalesce("decoded", F.lit(False)), F.concat(F.lit("DecodeError: no pixels from "), F.coalesce("format", F.lit("unknown"))))
-        .otherwise(F.col("trouble"))
+        .when(~decoded & ((F.col("format") == "WEBP") | F.coalesce(F.col("mode") == "CMYK", F.lit(False))), F.concat(F.lit(f"{NO_DECODER}: "), "format"))
+        .when(~decoded, F.concat(F.lit("DecodeError: no pixels from "), F.coalesce("format", F.lit("unknown"))))
+        .when(~deep, F.col("trouble"))
     )
-    ext = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
     out = out.withColumns({"error": error, "bytes": F.coalesce("bytes", "size"), "ext": ext, "ext_format": ext_format(ext)})
     out = out.withColumn("sha256", F.when(F.col("size") == 0, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.col("sha256")))
-    return out.withColumn("readable", F.col("error").isNull()).drop("size", "decoded", "trouble")
+    return out.withColumn("readable", F.col("error").isNull()).drop("size", "decoded", "trouble", "deep", *[f"deep_{c}" for c in _SEEN])
 
 
 def with_features(index: Index, target: int | None = None, cache: str | None = None) -> Index:

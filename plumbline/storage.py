@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import os
+import re
 import tempfile
 import uuid
 
@@ -33,6 +35,35 @@ def _path(spark: SparkSession, path: str):
     return jpath, jpath.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def literal(paths: list[str]) -> list[str]:
+    """Paths in which what Spark takes for wildcards is escaped."""
+    return [re.sub(r"([\[\]{}*?\\,^])", r"\\\1", p) for p in paths]
+
+
+def shared_path(spark: SparkSession, path: str) -> str:
+    """Where a result named ``path`` goes: a path with a scheme as it is; another one to the local disk in a local session, and on a cluster, where
+    executors have disks of their own, to the default file system."""
+    if "://" in path or path.startswith("file:") or not spark.sparkContext.master.startswith("local"):
+        return path
+    return f"file://{os.path.abspath(path)}"
+
+
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """A small file, written by the driver to :func:`shared_path`."""
+    jpath, fs = _path(spark, shared_path(spark, path))
+    if fs.getScheme() == "file":
+        at = jpath.toUri().getPath()
+        os.makedirs(os.path.dirname(at), exist_ok=True)
+        with open(at, "wb") as f:
+            f.write(data)
+        return
+    out = fs.create(jpath, True)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+
+
 def delete(spark: SparkSession, path: str) -> None:
     jpath, fs = _path(spark, path)
     fs.delete(jpath, True)

@@ -1,9 +1,16 @@
 import os
+import struct
+import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import types as T
 
 from plumbline.functions import image_bytes, pixels
+from plumbline.operators.incremental import Target
+from plumbline.plans.audit import audit_index
+from plumbline.plans.findings import Config, all_checks
+from plumbline.sources import images
 from plumbline.sources.images import LoaderError, load, with_features
 
 from .images import bmp, defective, jpeg, png, put, texture, with_exif
@@ -127,9 +134,88 @@ def test_features_and_cache(spark, tmp_path):
     assert rows["test/cracked/dup_exact.jpg"].sha256 == rows["train/cracked/origin.jpg"].sha256
     again = with_features(load(spark, root), 64, cache)
     assert sorted(map(str, again.df.collect())) == sorted(map(str, index.df.collect()))
-    from plumbline.operators.incremental import Target
-
     assert Target(spark, cache).version() == 1  # nothing was read again
     put(root, "val/cracked/new.png", png(texture(np.random.default_rng(10))))
     assert with_features(load(spark, root), 64, cache).df.where("readable").count() == sum(r.readable for r in rows.values()) + 1
     assert Target(spark, cache).version() == 2
+
+
+def deep_png(a, kinds=(0,)):
+    """A PNG of 16-bit grey values, row by row predicted in the given ways."""
+    rows, above, out = np.ascontiguousarray(a, ">u2").view(np.uint8).reshape(len(a), -1), None, b""
+    for y, row in enumerate(rows.astype(int)):
+        above = np.zeros_like(row) if above is None else above
+        left, corner = np.r_[0, 0, row[:-2]], np.r_[0, 0, above[:-2]]
+        far = np.abs(np.stack([above - corner, left - corner, left + above - 2 * corner]))
+        paeth = np.choose(far.argmin(0), [left, above, corner])
+        kind = kinds[y % len(kinds)]
+        out += bytes([kind]) + ((row - [0, left, above, (left + above) // 2, paeth][kind]) % 256).astype(np.uint8).tobytes()
+        above = row
+    chunk = lambda k, d: struct.pack(">I", len(d)) + k + d + struct.pack(">I", zlib.crc32(k + d))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", a.shape[1], len(a), 16, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(out)) + chunk(b"IEND", b"")
+
+
+def deep_tiff(a, order="<"):
+    entries = [(256, 3, a.shape[1]), (257, 3, a.shape[0]), (258, 3, 16), (259, 3, 1), (262, 3, 1), (273, 4, 8 + 2 + 12 * 8 + 4), (277, 3, 1), (279, 4, 2 * a.size)]
+    head = (b"II*\0" if order == "<" else b"MM\0*") + struct.pack(order + "IH", 8, len(entries))
+    for tag, kind, v in entries:
+        head += struct.pack(order + "HHI", tag, kind, 1) + (struct.pack(order + "HH", v, 0) if kind == 3 else struct.pack(order + "I", v))
+    return head + struct.pack(order + "I", 0) + np.ascontiguousarray(a, order + "u2").tobytes()
+
+
+def test_deep_grey_is_spread_over_its_range(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    a = (rng.integers(0, 300, (40, 33)) + 1000).astype(np.uint16)  # of 65,536 levels, all near 1,000
+    want = np.floor((a - a.min()) * (255 / np.ptp(a)) + 1e-9).astype(np.uint8)
+    for data in (deep_png(a), deep_png(a, (1, 2, 3, 4, 0)), deep_tiff(a), deep_tiff(a, ">")):
+        assert (image_bytes.deep_gray(data) == want).all()
+        with pytest.raises(ValueError):
+            image_bytes.deep_gray(data[:-300] if data[1:4] != b"PNG" else data[:60] + data[-12:])
+    assert (image_bytes.deep_gray(deep_png(np.full((3, 3), 7))) == 0).all() and image_bytes.deep_gray(png(np.zeros((4, 4, 3), np.uint8))) is None
+    root = str(tmp_path)
+    for name, data in (("a.png", deep_png(a, (4, 3))), ("b.tif", deep_tiff(a)), ("c.png", png(want))):
+        put(root, f"x/{name}", data)
+    rows = {r.relpath: r for r in with_features(load(spark, root), 16).df.collect()}
+    assert all(r.readable for r in rows.values()) and rows["x/a.png"]["mode"] == "I;16"
+    for name in ("x/a.png", "x/b.tif"):
+        for column in ("brightness", "contrast", "entropy", "phash", "dhash", "thumb", "edge_density_target"):
+            assert rows[name][column] == rows["x/c.png"][column]
+
+
+def test_kinds_without_a_decoder_are_no_broken_files(spark, tmp_path):
+    root = str(tmp_path)
+    webp = b"RIFF" + struct.pack("<I", 30) + b"WEBPVP8 " + struct.pack("<I", 18) + bytes(6) + struct.pack("<HH", 64, 48) + bytes(8)
+    put(root, "x/a.webp", webp)
+    put(root, "x/b.png", png(texture(np.random.default_rng(1), 20)))
+    put(root, "y/c.png", b"no picture")
+    index = with_features(load(spark, root))
+    rows = {r.relpath: r for r in index.df.collect()}
+    assert rows["x/a.webp"].error == "NoDecoder: WEBP" and (rows["x/a.webp"].width, rows["x/a.webp"].readable) == (64, False)
+    found = [(x.severity.name, x.metric) for x in audit_index(index, config=Config({"checks": {"disable": [c for c in all_checks() if c != "int.unreadable"]}})).all_findings]
+    assert found == [("BLOCKER", {"unreadable": 1, "pct": 33.33}), ("INFO", {"undecoded": 1})]
+
+
+def test_only_pending_files_are_read(spark, tmp_path, monkeypatch):
+    root, cache = str(tmp_path / "d"), f"file://{tmp_path}/cache"
+    a = lambda k: png(texture(np.random.default_rng(k), 20))
+    for k in range(12):
+        put(root, f"x/{k}.png", a(k))
+    put(root, "x/with [a-c]* {d}?+%41.png", a(20))
+    read, plain = [], images._source
+    monkeypatch.setattr(images, "_source", lambda spark, kind, paths: read.append(sorted(paths)) or plain(spark, kind, paths))
+    assert with_features(load(spark, root), None, cache).df.where("readable").count() == 13
+    read.clear()
+    put(root, "x/new.png", a(30))
+    put(root, "x/3.png", a(31))  # a new state of a known file
+    before = {r.path: r.sha256 for r in with_features(load(spark, root), None, cache).df.collect()}
+    assert read == [[f"{root}/x/3.png", f"{root}/x/new.png"]] * 2 and len(before) == 14
+    read.clear()
+    assert {r.path: r.sha256 for r in with_features(load(spark, root), None, cache).df.collect()} == before and not read
+    kept = Target(spark, cache).read(T.StructType.fromDDL("key string, version string"))
+    assert kept.count() == kept.select("key").distinct().count() == 14
+    assert with_features(load(spark, root), 32, cache).df.where("edge_density_target IS NOT NULL").count() == 14
+    files = load(spark, root).df.select("path", "bytes")
+    monkeypatch.setattr(images, "PATHS", 5)  # more than that: the folder if half of it is wanted
+    assert images.to_read(files) == [f"{root}/x"]
+    assert sorted(images.to_read(files.where("path < 'y'").orderBy("path").limit(6))) == sorted(r.path for r in files.orderBy("path").limit(6).collect())
+    assert images.extract(files).where("readable").count() == 14
