@@ -32,8 +32,8 @@ _SEEN = [c.split()[0] for c in PIXELS.split(", ")[2:-1]]
 FROM_BYTES = META + ", deep boolean, " + ", ".join(f"deep_{c}" for c in PIXELS.split(", ")[2:-1])
 #: How the error of a whole file begins that nothing here can decode.
 NO_DECODER = "NoDecoder"
-#: Files read by their own paths, at most.
-PATHS = 100_000
+#: Up to so many files are read by their own paths, whatever else is in their folders.
+PATHS = 1_000
 _FILES = "relpath string, bytes long, mtime_ns long"
 _DIRS = "reldir string, leaf boolean"
 
