@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import audits, probes, relational, splitting, statistics
@@ -415,13 +417,86 @@ def suggested_splits(spark: SparkSession, d: str) -> DataFrame:
     return out if out is not None else units.withColumn("split", F.lit("train")).limit(0)
 
 
+@query(
+    """, n AS (SELECT count(*) AS n, count(DISTINCT "group") AS g FROM idx)
+SELECT n AS n_files, g AS n_groups, 0::BIGINT AS torn_groups, 0::BIGINT AS torn_clusters, true AS near_shares FROM n"""
+)
+def suggested_split_rules(spark: SparkSession, d: str) -> DataFrame:
+    """What any suggestion must fulfil: all files have a split, no group and no cluster of duplicates is torn, and the shares are near 5/7, 1/7 and 1/7, to
+    within the largest unit, or a thirtieth."""
+    df = index_view(spark, d, "label", "group")
+    clusters = cut(_duplicates(spark, d).components)
+    units = cut(splitting.split_groups(df, "file_id", "group", clusters))
+    out = cut(splitting.suggest_splits(df, "file_id", "label", units))
+    torn = lambda rows, key: rows.groupBy(key).agg(F.count_distinct("split").alias("s")).where("s > 1").agg(F.count(F.lit(1)).alias(f"torn_{key}"))
+    grouped = out.join(df, "file_id")
+    largest = units.groupBy("unit").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("largest"))
+    whole = grouped.agg(F.count(F.lit(1)).alias("n_files"), F.count_distinct("group").alias("n_groups"), *[F.count_if(F.col("split") == s).alias(s) for s in SPLITS])
+    one = whole.join(torn(grouped.where("`group` IS NOT NULL"), "group")).join(torn(out.join(clusters, out["file_id"] == clusters["node"]), "component")).join(largest)
+    slack = F.greatest(F.col("n_files") / 30, F.col("largest"))
+    near = reduce(lambda a, b: a & b, [F.abs(F.col(s) - F.col("n_files") * k / 7) <= slack for s, k in (("train", 5), ("val", 1), ("test", 1))])
+    return one.select("n_files", "n_groups", F.col("torn_group").alias("torn_groups"), F.col("torn_component").alias("torn_clusters"), near.alias("near_shares"))
+
+
+_UNITS = (
+    "WITH RECURSIVE"
+    + IDX.strip()[4:]
+    + _PAIRS
+    + """, star AS (SELECT file_id AS a, min(file_id) OVER (PARTITION BY "group") AS b FROM idx WHERE "group" IS NOT NULL),
+e AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs UNION SELECT a, b FROM star WHERE a <> b UNION SELECT b, a FROM star WHERE a <> b), reach AS (
+  SELECT DISTINCT a AS n, a AS c FROM e UNION SELECT e.b, r.c FROM reach r JOIN e ON e.a = r.n WHERE r.c < e.b
+), comp AS (SELECT n AS file_id, min(c) AS first FROM reach GROUP BY n)
+SELECT file_id, coalesce(first, file_id) AS first FROM idx LEFT JOIN comp USING (file_id)"""
+)
+
+
+def split_units(spark: SparkSession, d: str) -> DataFrame:
+    """Each file and the smallest file of its unit: files of one group, or linked as duplicates, directly or through others."""
+    units = cut(splitting.split_groups(index_view(spark, d, "group"), "file_id", "group", _duplicates(spark, d).components))
+    return units.join(units.groupBy("unit").agg(F.min("file_id").alias("first")), "unit").select("file_id", "first")
+
+
+QUERIES["split_units"] = split_units
+SQL["split_units"] = _UNITS
+
+
+@query('SELECT coalesce(domain, \'(none)\') AS domain, count(*) FILTER (split = \'train\') AS train, count(*) FILTER (split = \'val\') AS val, count(*) FILTER (split = \'test\') AS test, count(*) FILTER (split IS NOT NULL) AS total FROM rd GROUP BY 1')
+def crosstab_domain_split(spark: SparkSession, d: str) -> DataFrame:
+    """A table of two columns with the sums of its rows."""
+    df = index_view(spark, d, "readable", "domain", "split").where("readable").withColumn("domain", F.coalesce("domain", F.lit("(none)")))
+    return relational.crosstab(df, "domain", "split", SPLITS)
+
+
+@query("SELECT row_number() OVER (ORDER BY sharpness, file_id) AS place, file_id, sharpness FROM rd WHERE sharpness IS NOT NULL ORDER BY sharpness, file_id LIMIT 20")
+def evidence_blurriest(spark: SparkSession, d: str) -> DataFrame:
+    """The twenty least sharp files, in order, as the examples of a finding; being a top list is the feature."""
+    df = index_view(spark, d, "readable", "sharpness").where("readable AND sharpness IS NOT NULL")
+    top = df.orderBy("sharpness", "file_id").limit(20)
+    return top.select(F.row_number().over(Window.orderBy("sharpness", "file_id")).cast("long").alias("place"), "file_id", "sharpness")
+
+
+@query(
+    """, f AS (SELECT 'int.unreadable' AS check_id, count(*) FILTER (NOT readable) AS n FROM idx UNION ALL SELECT 'int.blank', count(*) FROM rd WHERE contrast < 2 OR entropy < 0.5
+UNION ALL SELECT 'int.tiny', count(*) FROM rd WHERE least(width, height) < 32 UNION ALL SELECT 'int.format_mismatch', count(*) FROM rd WHERE magic_format IS NOT NULL AND magic_format IS DISTINCT FROM """
+    + _FORMAT
+    + """) SELECT check_id, CASE WHEN n = 0 THEN 0 WHEN check_id = 'int.unreadable' THEN 3 ELSE 2 END::INTEGER AS severity, 'integrity' AS section FROM f"""
+)
+def findings_integrity(spark: SparkSession, d: str) -> DataFrame:
+    """The severities of the integrity checks that the index table has all columns for."""
+    from .findings import all_checks
+
+    wanted = {"int.unreadable", "int.blank", "int.tiny", "int.format_mismatch"}
+    frame = _audited(spark, d, set(all_checks()) - wanted).to_frame()
+    return frame.groupBy("check_id", "section").agg(F.max("severity").alias("severity"))
+
+
 def _one(spark: SparkSession, r: probes.ProbeResult | None) -> DataFrame:
     rows = [(round(r.auc, 3), round(r.balanced_accuracy, 3), r.n, r.classes)] if r else []
     return spark.createDataFrame(rows, "auc double, balanced_accuracy double, n long, classes int")
 
 
 def short_metadata(spark: SparkSession, d: str) -> DataFrame:
-    """Whether sizes and format predict the label; the probe's rows per class are bounded by its documented parameter."""
+    """Whether sizes and format, which is what the table has of the metadata, predict the label; the probe's rows per class are bounded by its documented parameter."""
     df = index_view(spark, d, "readable", "label", "width", "height", "magic_format").where("readable")
     df, code = probes.codes(F.col("magic_format"), df)
     return _one(spark, probes.numeric_probe(df, "file_id", "label", {"width": F.col("width"), "height": F.col("height"), "aspect": audits.aspect(), "format": code}))
@@ -458,20 +533,16 @@ def _audited(spark: SparkSession, d: str, disabled: set[str]):
     return audit_index(Index(d, df, "table", stray, counts, True), config=Config({"checks": {"disable": disabled}}), key="file_id")
 
 
-#: Checks that train models.
-PROBES = {"leak.split_stats", "short.metadata", "short.filename", "short.thumbnail", "short.border"}
-
-
 def audit_findings(spark: SparkSession, d: str) -> DataFrame:
     """All checks over the index table; features it lacks count as missing."""
     return _audited(spark, d, set()).to_frame().select("check_id", "section", "severity", "title")
 
 
 def audit_scorecard(spark: SparkSession, d: str) -> DataFrame:
-    """The scorecard of all checks that train no model."""
+    """The scorecard of all checks."""
     from .report import scorecard_of
 
-    return scorecard_of(_audited(spark, d, PROBES).to_frame())
+    return scorecard_of(_audited(spark, d, set()).to_frame())
 
 
 QUERIES |= {"audit_findings": audit_findings, "audit_scorecard": audit_scorecard}

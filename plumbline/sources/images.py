@@ -117,8 +117,9 @@ def _is_image(c):
     return F.lower(c).rlike(r"\.(" + "|".join(e[1:] for e in IMAGE_EXTENSIONS) + r")$")
 
 
-def _folders(spark: SparkSession, root: str, split_dirs: list[str]) -> Index:
-    files, dirs = listing(spark, root)
+def from_listing(files: DataFrame, dirs: DataFrame, root: str, split_dirs: list[str]) -> Index:
+    """The index of listed files (relpath, bytes, mtime_ns) and folders (reldir, leaf): the label is the name of a file's folder, the split that of the
+    outermost one if it is among ``split_dirs``, the domain what lies between."""
     skip = 1 if split_dirs else 0
     parts = F.split("relpath", "/")
     depth = F.size(parts) - 1 - skip
@@ -210,7 +211,7 @@ def load(spark: SparkSession, root: str, splits: str = "auto", group_regex: str
         top = next(_walk(spark, root))[1]
         split_dirs = [d for d in top if d.lower() in SPLITS] if splits == "auto" else []
         manifest = find_manifest(spark, root) if splits == "auto" and not split_dirs else None
-        index = load_manifest(spark, root, manifest) if manifest else _folders(spark, root, split_dirs)
+        index = load_manifest(spark, root, manifest) if manifest else from_listing(*listing(spark, root), root, split_dirs)
     if group_regex:
         try:
             group = group_from_name(F.col("path"), group_regex)

@@ -2,15 +2,12 @@ import os
 
 import pytest
 
-from plumbline.plans import audit_queries, problems
+from plumbline.plans import audit_queries, picture_queries, problems
 
 from .tables import FOLDER, agree
 
-SLOW = {"audit_findings", "short_metadata", "short_filename", "short_vector", "split_probe"}
-
-
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no tables")
-@pytest.mark.parametrize("module,name", [(m, n) for m in (problems, audit_queries) for n in m.QUERIES if n not in SLOW])
+@pytest.mark.parametrize("module,name", [(m, n) for m in (problems, audit_queries, picture_queries) for n in m.QUERIES])
 def test_equal_to_sql(spark, module, name):
     agree(spark, module, name)
 
