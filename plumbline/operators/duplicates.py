@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from itertools import combinations
+from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -18,18 +18,17 @@ MOST_KEYS = 300
 BLOCK = 128
 #: Vectors in one partition, about.
 PART = 1_000
+#: From so many signatures on a key holds one run of bits more.
+MANY = 10_000_000
+
 
 def chunks(n: int) -> list[tuple[int, int]]:
-    """(first bit, width) of ``n`` disjoint runs of bits that cover 64; the first ones are one bit wider if they can't be equal. Two
+    """(first bit, width) of ``n`` disjoint runs of bits that cover 64, the wider ones first. Two
     signatures at most t bits apart agree in at least n - t of them."""
-    if not 1 <= n <= 64:
+    if n not in range(1, 65):
         raise ValueError("from 1 to 64 runs")
-    out, at = [], 0
-    for k in range(n):
-        width = 64 // n + (k < 64 % n)
-        out.append((at, width))
-        at += width
-    return out
+    widths = [-(-(64 - k) // n) for k in range(n)]
+    return list(zip(accumulate(widths, initial=0), widths))
 
 
 def hamming(a: Column, b: Column) -> Column:
@@ -37,15 +36,17 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b)).cast("int")
 
 
-def near_hashes(hashes: DataFrame, h: str, threshold: int, second: str | None = None, second_threshold: int = 64, clean: int = 2) -> DataFrame:
+def near_hashes(hashes: DataFrame, h: str, threshold: int, second: str | None = None, second_threshold: int = 64, clean: int | None = None) -> DataFrame:
     """a, b, dist (and a2, b2, the second signatures) for all pairs of rows with h_a < h_b, or with the same h and a smaller second
     signature, at most ``threshold`` and ``second_threshold`` bits apart. ``hashes`` has each combination once; null signatures have no pairs.
 
     The bits are cut into threshold + ``clean`` runs, so close signatures agree in at least ``clean`` of them. Each row is keyed by every
     choice of that many runs; equal keys meet in a hash join.
-    More clean runs mean more rows but longer, more selective keys: two suit up to some ten million signatures, three more. Adaptive
+    More clean runs mean more rows but longer, more selective keys: by default two up to ``MANY`` signatures, three beyond. Adaptive
     execution splits keys that are too frequent.
     """
+    if clean is None:
+        clean = 2 if hashes.count() <= MANY else 3
     runs = chunks(threshold + clean)
     choices = list(combinations(range(len(runs)), clean))
     if len(choices) > MOST_KEYS:

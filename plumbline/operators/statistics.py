@@ -31,15 +31,33 @@ def ordered(values: DataFrame, keys: list[str], n: str) -> DataFrame:
     return same_keys(ranged, sums, [*keys, "_part"]).withColumn("below", F.col("_before") + running).drop("_part", "_before")
 
 
+#: How far around the middle, as a share of a group's values, the bounds of its median lie; their own error is a fifth of that.
+AROUND, ACCURACY = 0.0005, 10_000
+
+
 def medians(df: DataFrame, keys: list[str], features: list[str]) -> DataFrame:
     """keys and the exact median of each feature (the mean of the two middle values of an even number), null without values. Null keys are
-    a group. Values that are null or NaN are left out. However many values a group has, no task holds them all."""
-    n = unpivoted(df, keys, features).groupBy(*keys, "feature", "value").agg(F.count(F.lit(1)).alias("_n"))
-    o = ordered(n, [*keys, "feature"], "_n")
-    low, high = F.floor((F.col("total") + 1) / 2), F.ceil((F.col("total") + 1) / 2)
-    within = lambda k: (F.col("below") < k) & (k <= F.col("below") + F.col("_n"))
-    middle = o.where(within(low) | within(high))
+    a group. Values that are null or NaN are left out.
+
+    A first pass finds bounds around each median by quantile summaries, whose error is bounded; a second counts how many values lie below and above
+    them, and how often each value between them occurs. Only these counts are shuffled, so however many values a group has, no task holds them all.
+    """
+    value = {f: F.nanvl(F.col(f).cast("double"), F.lit(None).cast("double")) for f in features}
+    rows = df.select(*keys, *[c.alias(f) for f, c in value.items()])
+    ends = F.array(F.lit(0.5 - AROUND), F.lit(0.5 + AROUND))
+    bounds = [F.percentile_approx(f, ends, ACCURACY).alias(f"_b_{f}") for f in features]
+    bounds = rows.groupBy(*keys).agg(*bounds) if keys else rows.agg(*bounds)
+    held = same_keys(rows, bounds, keys) if keys else rows.join(F.broadcast(bounds))
+    # Below and above the bounds only the number counts, so values there are taken for infinite.
+    placed = lambda f: F.when(F.col(f) < F.col(f"_b_{f}")[0], float("-inf")).when(F.col(f) > F.col(f"_b_{f}")[1], float("inf")).otherwise(F.col(f))
+    long = held.select(*keys, F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), placed(f).alias("value")) for f in features])).alias("_x")).select(*keys, "_x.feature", "_x.value")
+    n = long.where(F.col("value").isNotNull()).groupBy(*keys, "feature", "value").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy(*keys, "feature")
+    o = n.withColumns({"_upto": F.sum("_n").over(w.orderBy("value")), "_total": F.sum("_n").over(w)})
+    low, high = F.floor((F.col("_total") + 1) / 2), F.ceil((F.col("_total") + 1) / 2)
+    within = lambda k: (F.col("_upto") - F.col("_n") < k) & (k <= F.col("_upto"))
     # Both middle places may fall on one value or on two.
+    middle = o.where(within(low) | within(high))
     found = [F.avg(F.when(F.col("feature") == f, F.col("value"))).alias(f) for f in features]
     return middle.groupBy(*keys).agg(*found) if keys else middle.agg(*found)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import posixpath
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -23,6 +24,8 @@ from ..storage import _path, cut, literal
 VERSION = "v3"
 #: Listed files per piece written to the shared folder.
 PIECE = 500_000
+#: Folders listed at once.
+LISTERS = 16
 BASE = ("path", "relpath", "label", "split", "group", "domain")
 NUMBERS = ("mean_r", "mean_g", "mean_b", "std_r", "std_g", "std_b", "brightness", "contrast", "saturation", "sharpness", "entropy", "clipped_frac", "edge_density", "edge_density_target")
 META = "path string, bytes long, ext string, ext_format string, magic_format string, sha256 string, error string, width int, height int, n_frames int, mode string, format string, exif_orientation int, camera_model string, jpeg_quality double"
@@ -69,8 +72,8 @@ def _skipped(name: str) -> bool:
     return name.startswith(".") or name == "__MACOSX" or name.endswith("_report_assets")
 
 
-def _walk(spark: SparkSession, root: str, rel: str = ""):
-    """(folder relative to root, subfolders, files with size and time), folders by name; hidden and tool folders are left out."""
+def _listed(spark: SparkSession, root: str, rel: str):
+    """(folder relative to root, subfolders, files with size and time), by name; hidden and tool folders are left out."""
     jpath, fs = _path(spark, f"{root}/{rel}" if rel else root)
     dirs, files = [], []
     if fs.getScheme() == "file":
@@ -85,10 +88,19 @@ def _walk(spark: SparkSession, root: str, rel: str = ""):
         for s in fs.listStatus(jpath):
             name = s.getPath().getName()
             dirs.append(name) if s.isDirectory() else files.append((name, s.getLen(), s.getModificationTime() * 1_000_000))
-    dirs = sorted(d for d in dirs if not _skipped(d))
-    yield rel, dirs, sorted(files)
-    for d in dirs:
-        yield from _walk(spark, root, posixpath.join(rel, d))
+    return rel, sorted(d for d in dirs if not _skipped(d)), sorted(files)
+
+
+def _walk(spark: SparkSession, root: str):
+    """All folders, level by level; those of a level are listed side by side, as a store's answers take their time."""
+    level = [""]
+    with ThreadPoolExecutor(LISTERS) as pool:
+        while level:
+            below = []
+            for rel, dirs, files in pool.map(lambda r: _listed(spark, root, r), level):
+                below += [posixpath.join(rel, d) for d in dirs]
+                yield rel, dirs, files
+            level = below
 
 
 def listing(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
@@ -157,13 +169,11 @@ def from_listing(files: DataFrame, dirs: DataFrame, root: str, split_dirs: list[
 
 def find_manifest(spark: SparkSession, root: str) -> str | None:
     """The first CSV file by name, directly in the folder, with path and label among its columns."""
-    for _, _, files in _walk(spark, root):
-        for name, size, _ in files:
-            if name.lower().endswith(".csv") and size:
-                columns = spark.read.option("header", True).csv(f"{root}/{name}").columns
-                if {"path", "label"} <= {c.strip().lower() for c in columns}:
-                    return f"{root}/{name}"
-        return None
+    for name, size, _ in _listed(spark, root, "")[2]:
+        if name.lower().endswith(".csv") and size:
+            columns = spark.read.option("header", True).csv(f"{root}/{name}").columns
+            if {"path", "label"} <= {c.strip().lower() for c in columns}:
+                return f"{root}/{name}"
     return None
 
 
@@ -208,7 +218,7 @@ def load(spark: SparkSession, root: str, splits: str = "auto", group_regex: str
     if splits not in ("auto", "none"):
         index = load_manifest(spark, root, splits)
     else:
-        top = next(_walk(spark, root))[1]
+        top = _listed(spark, root, "")[1]
         split_dirs = [d for d in top if d.lower() in SPLITS] if splits == "auto" else []
         manifest = find_manifest(spark, root) if splits == "auto" and not split_dirs else None
         index = load_manifest(spark, root, manifest) if manifest else from_listing(*listing(spark, root), root, split_dirs)

@@ -7,6 +7,7 @@ import os
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -76,11 +77,33 @@ def _delete_quietly(spark: SparkSession, path: str) -> None:
         pass
 
 
+_CUTS: list[str] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: its lineage ends there, so a lost
-    executor costs no recomputation. The files are deleted when the driver exits."""
+    executor costs no recomputation. The files are deleted when the driver exits, or at the end of :func:`scope`."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_delete_quietly, spark, path)
+    if not _CUTS:
+        atexit.register(_delete_all, spark)
+    _CUTS.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _delete_all(spark: SparkSession, since: int = 0) -> None:
+    gone = _CUTS[since:]
+    del _CUTS[since:]
+    for path in gone:
+        _delete_quietly(spark, path)
+
+
+@contextmanager
+def scope(spark: SparkSession):
+    """For long sessions: what is written by :func:`cut` within is deleted at the end; results that are still needed must have been written by then."""
+    since = len(_CUTS)
+    try:
+        yield
+    finally:
+        _delete_all(spark, since)

@@ -1,3 +1,6 @@
+import os
+
+import numpy as np
 import math
 import random
 from types import SimpleNamespace
@@ -175,6 +178,9 @@ def test_components(spark):
     pairs = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(170)] + [(1000 + k, 1001 + k) for k in range(60)]
     df = spark.createDataFrame(pairs + [(None, 1), (5, 5)], "x int, y int")
     got = {r.node: r.component for r in connected_components(df, "x", "y").collect()}
+    assert got == {r.node: r.component for r in connected_components(df, "x", "y", bound=0).collect()}
+    named = df.select(F.col("x").cast("string").alias("x"), F.col("y").cast("string").alias("y"))
+    assert {(r.node, r.component) for r in connected_components(named, "x", "y").collect()} == {(r.node, r.component) for r in connected_components(named, "x", "y", bound=0).collect()}
     assert got == components_of([p for p in pairs if p[0] != p[1]])
     assert connected_components(df.limit(0), "x", "y").count() == 0
 
@@ -330,3 +336,24 @@ def test_medians(spark):
     assert got == {k: (median(good(k, 1)), median(good(k, 2))) for k in ("a", "b", "c", None)}
     assert statistics.medians(df, [], ["y"]).first().y == median([r[2] for r in rows])
     assert statistics.medians(df.limit(0), ["k"], ["x"]).count() == 0 and statistics.medians(df.limit(0), [], ["x"]).first().x is None
+
+
+def test_medians_of_many_values(spark):
+    """Bounds from summaries, exact within them; heavy ties, infinities and a group that holds nearly all."""
+    rng = np.random.default_rng(6)
+    rows = [("big" if k % 50 else None, float(rng.normal()), float(rng.integers(0, 3)), float(rng.choice([-np.inf, np.inf, 1.0, np.nan]))) for k in range(60_001)]
+    df = spark.createDataFrame(rows, "k string, x double, y double, z double").repartition(7)
+    got = {r.k: (r.x, r.y) for r in statistics.medians(df, ["k"], ["x", "y"]).collect()}
+    assert got == {k: tuple(median([r[c] for r in rows if r[0] == k]) for c in (1, 2)) for k in ("big", None)}
+    assert statistics.medians(df, [], ["z"]).first().z == median([r[3] for r in rows if not np.isnan(r[3])])
+
+
+def test_scope_deletes_what_was_written(spark):
+    from plumbline import storage
+
+    kept = storage.cut(spark.range(3))
+    with storage.scope(spark):
+        inner = storage.cut(spark.range(5))
+        path = inner.inputFiles()[0].removeprefix("file://")
+        assert os.path.exists(path) and inner.count() == 5
+    assert not os.path.exists(path) and kept.count() == 3
