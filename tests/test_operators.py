@@ -1,10 +1,10 @@
-import os
-
-import numpy as np
 import math
+import os
 import random
+from statistics import median
 from types import SimpleNamespace
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
