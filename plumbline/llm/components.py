@@ -35,28 +35,21 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def union_find(a: np.ndarray, b: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """For each of the nodes 0..len(rank)-1 the member of its component with the smallest rank."""
+    """For each of the nodes 0..len(rank)-1 the member of its component with the smallest rank. All edges that join two trees are united at once,
+    the larger root under the smallest that an edge leads it to; then paths are compressed, and edges within a tree are done."""
     order = np.argsort(rank, kind="stable")
     place = np.empty_like(order)
     place[order] = np.arange(len(order))
-    parent = list(range(len(rank)))  # in places, so that the smaller place is the root
-    for x, y in zip(place[a].tolist(), place[b].tolist(), strict=True):
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        while parent[y] != y:
-            parent[y] = parent[parent[y]]
-            y = parent[y]
-        if x < y:
-            parent[y] = x
-        elif y < x:
-            parent[x] = y
-    roots = np.array(parent, dtype=np.int64)
-    while True:  # pointers only go to smaller places, so this ends after a logarithm of the longest path
-        up = roots[roots]
-        if np.array_equal(up, roots):
-            return order[roots[place]]
-        roots = up
+    parent = np.arange(len(rank))  # in places, so that the smaller place is the root
+    x, y = place[a], place[b]
+    while len(x):
+        np.minimum.at(parent, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(parent, up := parent[parent]):  # pointers only go to smaller places
+            parent = up
+        x, y = parent[x], parent[y]
+        apart = x != y
+        x, y = x[apart], y[apart]
+    return order[parent[place]]
 
 
 def _forest(batches):
