@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +54,18 @@ def p3_balance(spark: SparkSession, d: str) -> DataFrame:
     return grouped_split.assign(files).groupBy("split", "label").agg(F.count(F.lit(1)).alias("n_files"))
 
 
+def p3_rules(spark: SparkSession, d: str) -> DataFrame:
+    """What the annealed assignment must fulfil: every file has a split, no group is torn, and the files of each split are as many as wanted to within a
+    hundredth of all, of each label to within a fiftieth of the label's, or the largest group's files there where those are more."""
+    out = cut(grouped_split.assign(grouped_split.files_of(table(spark, d, "dataset_index", "file_id", "label", "group_key"))))
+    torn = out.groupBy("component").agg(F.count_distinct("split").alias("s")).agg(F.count(F.lit(1)).alias("n_groups"), F.count_if(F.col("s") > 1).alias("torn_groups"))
+    counts = cut(out.groupBy("label", "component", "split").agg(F.count(F.lit(1)).alias("n")))
+    off = lambda slack: reduce(lambda a, b: a & b, [F.abs(F.sum(F.when(F.col("split") == s, F.col("n")).otherwise(0)) - share * F.sum("n")) <= F.greatest(F.sum("n") * slack, F.max("n")) for s, share in zip(grouped_split.SPLITS, grouped_split.SHARES)])
+    whole = counts.groupBy("component", "split").agg(F.sum("n").alias("n")).agg(F.sum("n").alias("n_files"), off(0.01).alias("near_shares"))
+    labels = counts.groupBy("label").agg(off(0.02).alias("near")).agg(F.bool_and("near").alias("near_label_shares"))
+    return whole.join(F.broadcast(torn)).join(F.broadcast(labels))  # one row each
+
+
 # 4: components of the kept pairs
 
 
@@ -148,6 +162,7 @@ QUERIES = {
     "p3_method": p3_method,
     "p3_found": p3_found,
     "p3_balance": p3_balance,
+    "p3_rules": p3_rules,
     "p4_found": p4_found,
     "p4_sizes": p4_sizes,
     "p5_day_percentiles": p5_day_percentiles,
@@ -233,3 +248,7 @@ WITH f AS (SELECT DISTINCT file_id, label, width, height, sharpness FROM dataset
 SELECT label, metric, count(*) FILTER (x > 0 AND NOT isnan(x)) AS n, true AS within
 FROM (SELECT label, unnest([{'metric': 'width', 'x': width::DOUBLE}, {'metric': 'height', 'x': height::DOUBLE}, {'metric': 'sharpness', 'x': sharpness}], recursive := true) FROM f) GROUP BY label, metric
 """
+SQL["p3_rules"] = """
+WITH f AS (SELECT DISTINCT file_id, lower(trim(group_key, ' ' || chr(9))) AS g FROM dataset_index)
+SELECT count(*) AS n_files, count(DISTINCT CASE WHEN g <> '' AND g <> 'nan' THEN 'g' || g ELSE 'f' || file_id END) AS n_groups, 0::BIGINT AS torn_groups, true AS near_shares, true AS near_label_shares FROM f
+"""
