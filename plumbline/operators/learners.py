@@ -109,9 +109,11 @@ class Sparse:
     """A matrix of few non-zero entries: rows' starts, columns and values."""
 
     def __init__(self, starts: np.ndarray, columns: np.ndarray, values: np.ndarray, width: int):
-        self.shape, self.columns, self.values = (len(starts) - 1, width), columns, values
+        self.shape, self.columns = (len(starts) - 1, width), columns
+        self.values = values.astype(np.float32)[:, None]
         self.rows = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-        self.order = np.argsort(columns, kind="stable")
+        order = np.argsort(columns, kind="stable")
+        self.by_column = columns[order], self.rows[order], self.values[order]
 
     @staticmethod
     def _sums(of: np.ndarray, groups: np.ndarray, n: int) -> np.ndarray:
@@ -123,11 +125,11 @@ class Sparse:
         return out
 
     def __matmul__(self, w: np.ndarray) -> np.ndarray:
-        return self._sums(w[self.columns] * self.values[:, None], self.rows, self.shape[0])
+        return self._sums(w.astype(np.float32)[self.columns] * self.values, self.rows, self.shape[0])
 
     def transposed_times(self, r: np.ndarray) -> np.ndarray:
-        o = self.order
-        return self._sums(r[self.rows[o]] * self.values[o][:, None], self.columns[o], self.shape[1])
+        columns, rows, values = self.by_column
+        return self._sums(r.astype(np.float32)[rows] * values, columns, self.shape[1])
 
 
 def minimized(f: Callable, x: np.ndarray, steps: int, memory: int = 10, tolerance: float = 1e-4) -> np.ndarray:
@@ -187,6 +189,12 @@ def scaled(train: np.ndarray, test: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return (train - mean) / std, (test - mean) / std
 
 
+def runs_of(text: str, low: int = 2, high: int = 4) -> list[str]:
+    """The runs of 2 to 4 characters of each word, which is padded by blanks; a word shorter than the run gives the whole padded word once."""
+    padded = [f" {w} " for w in text.split()]
+    return [p[i : i + n] for p in padded for n in range(low, high + 1) for i in range(len(p) - n + 1)]
+
+
 def weighted_runs(train: list[list[str]], test: list[list[str]]) -> tuple[Sparse, Sparse]:
     """Character runs weighted by how often they occur in a text and in how few of the texts of ``train``, to length 1 per text. The
     ``VOCABULARY`` most frequent runs of ``train`` count, ties by name."""

@@ -17,6 +17,10 @@ from .splitting import stem
 #: Classes with fewer rows are left out.
 LEAST = 5
 FOLDS = 5
+#: Steps towards the minimum of a model of file names, at most; its ranks hardly change after them.
+TEXT_STEPS = 30
+#: Rows of a probe of file names, about.
+TEXT_SAMPLE = 8_000
 #: Rows of a probe, about, whatever the number of classes.
 SAMPLE = 20_000
 #: How many times the rows wanted of a class are sorted to find those with the smallest hashes.
@@ -73,15 +77,15 @@ def _scores(batches):
         yield pa.RecordBatch.from_arrays([pa.array([auc]), pa.array([recall]), pa.array([len(y)]), pa.array([k], pa.int32())], ["auc", "balanced_accuracy", "n", "classes"])
 
 
-def probe(df: DataFrame, key: str, label: str, x: Column, fit, seed: int = 42, most: int = 2000) -> ProbeResult | None:
+def probe(df: DataFrame, key: str, label: str, x: Column, fit, seed: int = 42, most: int = 2000, sample: int | None = None) -> ProbeResult | None:
     """Five-fold cross-validation in one job: the five models are fitted at once, each in a task that holds the sample. ``fit`` takes the values of ``x`` and the
     numbers of the classes of some rows, the number of classes, and values of other rows, and returns their probabilities. The result has
     the area under the curve (of the second class, or the mean over one class against the rest) and the mean recall of the classes, both out
-    of fold. Null with fewer than two classes of at least five rows. Bounded: at most ``most`` rows of each class, and about ``SAMPLE`` of
-    all, are used, or five of each where there are very many classes."""
+    of fold. Null with fewer than two classes of at least five rows. Bounded: at most ``most`` rows of each class, and about ``sample`` (by default
+    ``SAMPLE``) of all, are used, or five of each where there are very many classes."""
     rows = df.select(F.col(key).alias("key"), F.col(label).cast("string").alias("label"), x.alias("x")).where("x IS NOT NULL")
     classes = rows.select("label").distinct().count()
-    rows = subsample(rows, "label", max(LEAST, min(most, SAMPLE // max(1, classes))), seed, "key")
+    rows = subsample(rows, "label", max(LEAST, min(most, (sample or SAMPLE) // max(1, classes))), seed, "key")
     runs = rows.select("label", "place", "x", F.explode(F.sequence(F.lit(0), F.lit(FOLDS - 1))).alias("run"))
     predicted = runs.repartitionById(FOLDS, "run").mapInArrow(_fold(fit), "y int, p array<double>")
     r = predicted.repartition(1).mapInArrow(_scores, "auc double, balanced_accuracy double, n long, classes int").first()
@@ -157,5 +161,9 @@ def char_grams(text: Column, low: int = 2, high: int = 4) -> Column:
 
 def filename_probe(df: DataFrame, key: str, label: str, path: str, tokens: list[str], seed: int = 42, most: int = 2000) -> ProbeResult | None:
     """A linear model over the weighted character runs of the file names without ``tokens``."""
-    fit = lambda a, y, k, b: (lambda m: learners.linear(m[0], y, k, m[1], 1.0))(learners.weighted_runs(a, b))
-    return probe(df, key, label, char_grams(without_tokens(F.col(path), tokens)), fit, seed, most)
+
+    def fit(a, y, k, b):
+        a, b = learners.weighted_runs([learners.runs_of(t) for t in a], [learners.runs_of(t) for t in b])
+        return learners.linear(a, y, k, b, 1.0, TEXT_STEPS)
+
+    return probe(df, key, label, without_tokens(F.col(path), tokens), fit, seed, most, TEXT_SAMPLE)

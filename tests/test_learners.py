@@ -83,3 +83,8 @@ def test_probes(spark):
     assert probes.vector_probe(df.limit(0), "id", "label", "vec") is None
     chance = probes.numeric_probe(df, "id", "label", {"v": F.xxhash64("id").cast("double")})
     assert abs(chance.auc - 0.5) < 0.1
+
+
+def test_runs_equal_those_of_the_expression(spark):
+    for text in ("ab c", "", "  a  bcdef\t12 ", "é ü-x"):
+        assert sorted(learners.runs_of(text)) == sorted(spark.range(1).select(probes.char_grams(F.lit(text))).first()[0])
